@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velofield.llm import decontamination, packing
+from velofield.llm import decontamination, packing, quality, toxicity, urls, vectors
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -32,8 +32,31 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+#: (host, path, verdict)
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_decontamination)}
+    return {f.__name__: f for f in (op1_packing, op5_decontamination, op7_embeddings, op8_toxicity, op9_urls, op10_quality)}
 
 
 OP5_SQL = r"""
@@ -63,5 +86,49 @@ FROM di LEFT JOIN hits USING (row_no) LEFT JOIN items USING (row_no)
 """
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+cnt AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low.m, vec_id)) AS component_id,
+       vec_id <= coalesce(low.m, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN cnt ON cnt.a = vec_id
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE rules(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+raw AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
+               coalesce(nullif(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''),
+                        regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1)) AS can,
+               regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*([^"''\s>]+)', 1) AS ref
+        FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
+             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^#]*)', 1) AS tail, can, ref FROM raw),
+dst AS (SELECT host || tail AS a, CASE WHEN instr(t, '://') > 0 THEN substr(t, instr(t, '://') + 3) WHEN t LIKE '/%' THEN host || t END AS rest
+        FROM (SELECT host, tail, unnest([can, ref]) AS t FROM u WHERE host <> '')),
+e AS (SELECT a, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS b
+      FROM dst WHERE rest IS NOT NULL),
+g AS (SELECT a, b FROM e WHERE b <> '' UNION SELECT b, a FROM e WHERE b <> ''),
+reach AS (SELECT a, b FROM g UNION SELECT reach.a, g.b FROM reach JOIN g ON reach.b = g.a),
+places AS (SELECT DISTINCT host, path FROM u UNION SELECT DISTINCT regexp_extract(b, '^[^/?#]*', 0), regexp_extract(b, '^[^/?#]*([^?#]*)', 1) FROM g),
+best AS (SELECT host, path, rh || rp AS rule, rv,
+                row_number() OVER (PARTITION BY host, path ORDER BY length(rh) + length(rp) DESC, length(rh) DESC, rv) AS k
+         FROM places JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+alias AS (SELECT reach.a, max(CAST(rv = 'allow' AS INT)) AS ok, max(CAST(rv = 'block' AS INT)) AS no
+          FROM reach LEFT JOIN best ON best.k = 1 AND best.host = regexp_extract(reach.b, '^[^/?#]*', 0) AND best.path = regexp_extract(reach.b, '^[^/?#]*([^?#]*)', 1)
+          GROUP BY reach.a)
+SELECT u.page_id, u.host, u.path, best.rule,
+       coalesce(best.rv, CASE WHEN alias.ok = 1 THEN 'allow' WHEN alias.no = 1 THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN best ON best.k = 1 AND best.host = u.host AND best.path = u.path LEFT JOIN alias ON alias.a = u.host || u.tail
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL}
+    return {"op5_decontamination": OP5_SQL, "op7_embeddings": OP7_SQL, "op9_urls": OP9_SQL}

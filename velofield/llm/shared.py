@@ -204,3 +204,19 @@ def _digest(links: DataFrame) -> tuple:
     """Number of links and a checksum that doesn't depend on their order."""
     row = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return row["n"], row["x"]
+
+
+def ranked(df: DataFrame, *keys: str, name: str = "rank") -> DataFrame:
+    """Add each row's place (from 0) in the order of ``keys`` over all rows; checkpointed.
+
+    Ranges are sorted where they lie; only the number of rows of each range goes to the driver.
+    """
+    spark = df.sparkSession
+    placed = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed = checkpointed(placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    before, total = [], 0
+    for part, n in sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        before.append((part, total))
+        total += n
+    shift = F.broadcast(spark.createDataFrame(before, "_part long, _before long"))  # a row per range
+    return placed.join(shift, "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
