@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velofield.llm import decontamination, packing, quality, toxicity, urls, vectors
+from velofield.llm import decontamination, lines, packing, quality, suffixes, toxicity, urls, vectors
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -24,6 +24,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -56,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_decontamination, op7_embeddings, op8_toxicity, op9_urls, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_suffixes, op3_lines, op5_decontamination, op7_embeddings, op8_toxicity, op9_urls, op10_quality)}
 
 
 OP5_SQL = r"""

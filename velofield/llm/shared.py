@@ -166,6 +166,30 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
+# --- packed arrays between steps -------------------------------------------------------------------------------------
+
+
+def pack(*arrays: np.ndarray) -> list[bytes]:
+    return [np.ascontiguousarray(a).tobytes() for a in arrays]
+
+
+def cells(t: pa.Table, name: str, kind: str) -> np.ndarray:
+    """All values of a column of packed arrays, one row after another."""
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)] or [np.zeros(0, kind)])
+
+
+def split_by(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(key, that key's part of each array) in the order of the keys."""
+    if not len(key):
+        return
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    cut = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    parts = [np.split(a[order], cut[1:]) for a in arrays]
+    for n, at in enumerate(cut):
+        yield int(sorted_[at]), [p[n] for p in parts]
+
+
 # --- connected components ---------------------------------------------------------------------------------------------
 
 
