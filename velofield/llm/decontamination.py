@@ -81,12 +81,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, with_c
     Null and empty texts have no words and no hits; an item without words finds nothing; an item shorter than a window is
     one window; repeated items and rows count each; empty tables give no rows, or no hits; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
-    weight = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    if weight > BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {weight} bytes of text; scan for it in parts of {BENCHMARK_BYTES} at most")
-    shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in items.collect()])
+    shared = _shared_items(docs, benchmark, item_col, item_text)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(shared.value, size)
@@ -112,6 +107,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, with_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(find, schema)
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, all columns, without those that hold a window of a benchmark item."""
+    shared, at = _shared_items(docs, benchmark, item_col, item_text), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(shared.value, size)
+        for batch in batches:
+            yield batch.filter(pa.array([not scan(machine, x.as_py())[2] for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _shared_items(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str):
+    """The items for every task, after a check of their size."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
+    weight = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if weight > BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark has {weight} bytes of text; scan for it in parts of {BENCHMARK_BYTES} at most")
+    return docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in items.collect()])
+
+
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without the spans."""
     if not spans:

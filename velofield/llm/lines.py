@@ -110,7 +110,7 @@ class Steps:
 
     def _candidates(self, docs: pa.Table, known: np.ndarray) -> Iterator[tuple]:
         known = np.unique(known)
-        for batch in chunks(iter(docs.select(["doc_id", "text"]).combine_chunks().to_batches()), 1):
+        for batch in chunks(iter(docs.drop_columns(["home"]).combine_chunks().to_batches()), 1):
             raw, starts = utf8(batch.column(1))
             null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -172,6 +172,7 @@ class Steps:
         both = mix(hash_ ^ mix(second))
         by = np.argsort(both)
         both = both[by]
+        rest: list[pa.Array] = []
         out: dict[str, list] = {n: [] for n in ("doc_id", "text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")}
         for batch, raw, starts, ids, null, own, which, other in self._candidates(docs, hash_):
             mine = mix(own.hash[which] ^ mix(other))
@@ -190,10 +191,12 @@ class Steps:
                     text = raw[ranges(own.start[stay], own.end[stay] - own.start[stay])].tobytes().decode("utf-8", "replace")
                 for name, value in zip(out, (None if null[k] else int(ids[k]), text, int(lines[b] - lines[a]), int(b - a), int(chunks_gone[b] - chunks_gone[a]), int(removed[b] - removed[a])), strict=True):
                     out[name].append(value)
-        return pa.Table.from_arrays([pa.array(v, pa.string() if n == "text" else pa.int64()) for n, v in out.items()], names=list(out))
+            rest += [batch.column(2)] if batch.num_columns > 2 else []
+        table_ = pa.Table.from_arrays([pa.array(v, pa.string() if n == "text" else pa.int64()) for n, v in out.items()], names=list(out))
+        return table_.append_column("rest", pa.chunked_array(rest)) if rest else table_
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove chunks of several lines that repeat anywhere: doc_id, text (what is left), n_lines, n_chunks, n_removed_chunks, n_removed_lines.
 
     Rolling hashes over line hashes cut each text into chunks. A chunk with at least two lines that aren't blank, and whose
@@ -203,19 +206,23 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING, i
 
     Null texts stay null and empty ones empty; a text without line feeds is one line and never loses it; chunks of one line
     always stay; rows with the same id and the same text count as one document and keep the same chunks; rows with a null
-    id stay whole and remove nothing; an empty table gives an empty one; other columns are not looked at.
+    id stay whole and remove nothing; an empty table gives an empty one; other columns are not looked at, but those named in
+    ``carry`` come back in the struct ``rest``.
     """
     n = partitions(docs.sparkSession)
     buckets = 4 * n
     steps = Steps(buckets, window, spacing)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = source.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("home"), "doc_id", "text")
-    announced = source.where("doc_id is not null").mapInArrow(steps.announce, steps.ANNOUNCED)
+    rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *rest)
+    source = source.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("home"), *source.columns)
+    announced = source.select("home", "doc_id", "text").where("doc_id is not null").mapInArrow(steps.announce, steps.ANNOUNCED)
     answers = announced.groupBy("k").applyInArrow(lambda t: steps.answer(t), steps.ANSWERED)
     at_home = source.repartition(n, "home")
+    schema = "doc_id long, text string, n_lines long, n_chunks long, n_removed_chunks long, n_removed_lines long"
+    schema += f", rest {source.schema['rest'].dataType.simpleString()}" if carry else ""
     sent = at_home.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(lambda d, a: steps.send(d, a), steps.SENT)
     compared = sent.groupBy("k").applyInArrow(lambda t: steps.compare(t), steps.COMPARED)
-    return at_home.groupBy("home").cogroup(compared.groupBy("home")).applyInArrow(lambda d, f: steps.remove(d, f), "doc_id long, text string, n_lines long, n_chunks long, n_removed_chunks long, n_removed_lines long")
+    return at_home.groupBy("home").cogroup(compared.groupBy("home")).applyInArrow(lambda d, f: steps.remove(d, f), schema)
 
 
 def chunks_of(text: str, window: int = WINDOW, spacing: int = SPACING) -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velofield.llm import decontamination, lines, packing, quality, suffixes, toxicity, urls, vectors
+from velofield.llm import counts, decontamination, lines, near, packing, quality, suffixes, toxicity, urls, vectors
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,6 +33,15 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return counts.count_edited(docs.select("doc_id", "text", counts.sample_edits(F.col("text")).alias("edits")), tokenizer_path())
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -65,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_suffixes, op3_lines, op5_decontamination, op7_embeddings, op8_toxicity, op9_urls, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_suffixes, op3_lines, op4_minhash, op5_decontamination, op6_counts, op7_embeddings, op8_toxicity, op9_urls, op10_quality)}
 
 
 OP5_SQL = r"""

@@ -223,3 +223,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
     """Learn a lexicon from at most ``most`` labelled rows that aren't held out, and score every text: adds ``held_out``."""
     lexicon = learn(training_rows(docs, labels, label, most))
     return score_toxicity(docs, lexicon, threshold).withColumn("held_out", held_out("doc_id"))
+
+
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without those that the lexicon scores at the threshold or above."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        machine = own.automaton()
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(machine, fold(x.as_py()))[0] < threshold for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
