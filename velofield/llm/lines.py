@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velofield.llm.shared import U64, Prefixes, cells, chunks, mix, pack, partitions, ranges, split_by, table, utf8
+from velofield.llm.shared import U64, Prefixes, bucket_label, cells, chunks, even_labels, mix, pack, partitions, ranges, small, split_by, table, utf8
 
 #: Lines whose rolling hash decides on a boundary, and one in how many lines is one.
 WINDOW, SPACING = 2, 3
@@ -67,8 +67,10 @@ class LineChunks:
 class Steps:
     """The steps of the operator on bounded parts of the corpus."""
 
-    def __init__(self, buckets: int, window: int, spacing: int):
-        self.buckets, self.window, self.spacing = buckets, window, spacing
+    def __init__(self, labels: np.ndarray, window: int, spacing: int):
+        self.labels, self.buckets, self.window, self.spacing = labels, len(labels), window, spacing
+        self.kind = small(self.buckets)
+        self.number = {int(x): k for k, x in enumerate(labels)}
 
     def announce(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each bucket of hashes: the chunk's hash, the bucket of documents that has it, and how often, up to 255."""
@@ -80,13 +82,13 @@ class Steps:
             hash_, home = hash_[order], home[order]
             at = np.flatnonzero(np.concatenate([[True], (hash_[1:] != hash_[:-1]) | (home[1:] != home[:-1])])) if len(hash_) else order
             count = np.minimum(np.diff(np.append(at, len(hash_))), 255).astype(np.uint8)
-            rows = [(k, *pack(*x)) for k, x in split_by((hash_[at] % U64(self.buckets)).astype(np.int64), hash_[at], home[at], count)]
+            rows = [(int(self.labels[k]), *pack(*x)) for k, x in split_by((hash_[at] % U64(self.buckets)).astype(np.int64), hash_[at], home[at].astype(self.kind), count)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 4))], names=["k", "hash", "home", "count"])
 
         for batch in chunks(batches, 2):
             raw, starts = utf8(batch.column(2))
             own = LineChunks(raw, starts, self.window, self.spacing)
-            found.append((own.hash[own.several], batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)[own.doc[own.several]]))
+            found.append((own.hash[own.several], np.array([self.number[x] for x in batch.column(0).to_pylist()], np.int32)[own.doc[own.several]]))
             held += len(found[-1][0])
             if held > 1 << 20:
                 yield out()
@@ -98,12 +100,12 @@ class Steps:
 
     def answer(self, t: pa.Table) -> pa.Table:
         """For each bucket of documents: its hashes that occur several times."""
-        hash_, home, count = cells(t, "hash", "<u8"), cells(t, "home", "<i4"), cells(t, "count", np.uint8).astype(np.int64)
+        hash_, home, count = cells(t, "hash", "<u8"), cells(t, "home", self.kind).astype(np.int64), cells(t, "count", np.uint8).astype(np.int64)
         order = np.argsort(hash_, kind="stable")
         hash_, home, count = hash_[order], home[order], count[order]
         at = np.flatnonzero(np.concatenate([[True], hash_[1:] != hash_[:-1]]))
         several = np.repeat(np.add.reduceat(count, at), np.diff(np.append(at, len(hash_)))) > 1
-        rows = [(b, *pack(h)) for b, (h,) in split_by(home[several], hash_[several])]
+        rows = [(int(self.labels[b]), *pack(h)) for b, (h,) in split_by(home[several], hash_[several])]
         return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["home", "hash"])
 
     ANSWERED = "home int, hash binary"
@@ -135,7 +137,7 @@ class Steps:
             home = docs.column("home")[0].as_py()
             squeeze = zstandard.ZstdCompressor(level=1).compress
             for k, (w,) in split_by((hash_[one] % U64(self.buckets)).astype(np.int64), one):
-                rows.append((k, home, *pack(hash_[w], second[w], ids[w], number[w], size[w]), squeeze(data[ranges(begin[w], size[w])].tobytes())))
+                rows.append((int(self.labels[k]), home, *pack(hash_[w], second[w], ids[w], number[w], size[w]), squeeze(data[ranges(begin[w], size[w])].tobytes())))
         names = ["k", "home", "hash", "second", "doc", "number", "size", "bytes"]
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c < 2 else pa.binary()) for c in range(8)], names=names)
 
@@ -210,11 +212,11 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING, i
     ``carry`` come back in the struct ``rest``.
     """
     n = partitions(docs.sparkSession)
-    buckets = 4 * n
-    steps = Steps(buckets, window, spacing)
+    labels = even_labels(n)
+    steps = Steps(labels, window, spacing)
     rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *rest)
-    source = source.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("home"), *source.columns)
+    source = source.select(bucket_label("doc_id", labels).alias("home"), *source.columns)
     announced = source.select("home", "doc_id", "text").where("doc_id is not null").mapInArrow(steps.announce, steps.ANNOUNCED)
     answers = announced.groupBy("k").applyInArrow(lambda t: steps.answer(t), steps.ANSWERED)
     at_home = source.repartition(n, "home")

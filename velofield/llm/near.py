@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velofield.llm.shared import U64, Prefixes, binaries, checkpointed, chunks, connected_components, mix, partitions, ranges, split_by, table, utf8, written
+from velofield.llm.shared import U64, Prefixes, binaries, bucket_label, checkpointed, chunks, connected_components, even_labels, mix, partitions, ranges, split_by, table, utf8, written
 
 #: A signature has BANDS x ROWS registers; a similar pair shares all registers of some band but for 2 in 100,000 at 0.8.
 BANDS, ROWS = 28, 5
@@ -171,8 +171,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Each set goes once to every bucket of partners, where it is intersected with theirs.
     """
     n = partitions(pairs.sparkSession)
-    buckets = 4 * n
-    home = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    labels = even_labels(n)
+    home = lambda c: bucket_label(c, labels)
     at_home = sets.select(home("doc_id").alias("home"), "doc_id", "items").repartition(n, "home")
     asked = pairs.select(home("a").alias("home"), "a", "b", home("b").alias("to"))
 

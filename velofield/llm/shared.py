@@ -190,6 +190,48 @@ def split_by(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[n
         yield int(sorted_[at]), [p[n] for p in parts]
 
 
+def hash_partition(label: np.ndarray, n: int) -> np.ndarray:
+    """The partition of ``n`` that Spark's hash partitioning deals an integer to (Murmur3 with seed 42)."""
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    k = turn(label.astype(np.int32).view(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    return h.view(np.int32).astype(np.int64) % n
+
+
+def even_labels(n: int, most: int = 4096) -> np.ndarray:
+    """A label for each of ``n`` buckets, such that hash partitioning of the labels puts one bucket into each partition.
+
+    Beyond ``most`` buckets labels are just numbers: with so many partitions uneven ones don't matter.
+    """
+    if n > most:
+        return np.arange(n, dtype=np.int32)
+    found, at = np.full(n, -1, np.int32), 0
+    while (found < 0).any():
+        label = np.arange(at, at + 16 * n, dtype=np.int32)
+        part, first = np.unique(hash_partition(label, n), return_index=True)
+        new = found[part] < 0
+        found[part[new]] = label[first[new]]
+        at += 16 * n
+    return found
+
+
+def bucket_label(column, labels: np.ndarray):
+    """The label of the bucket of a key, as a column."""
+    bucket = F.pmod(F.xxhash64(column), F.lit(len(labels))).cast("int")
+    if len(labels) > 1 and labels[1] == 1 and labels[0] == 0 and labels[-1] == len(labels) - 1:
+        return bucket
+    return F.element_at(F.array(*[F.lit(int(x)) for x in labels]), bucket + 1)
+
+
+def small(n: int) -> str:
+    """The smallest unsigned type for numbers below ``n``."""
+    return "<u1" if n <= 1 << 8 else "<u2" if n <= 1 << 16 else "<u4"
+
+
 # --- connected components ---------------------------------------------------------------------------------------------
 
 
