@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velofield.llm.shared import U64, Prefixes, cells, chunks, pack, partitions, ranges, split_by, table, utf8
+from velofield.llm.shared import U64, Prefixes, bucket_label, cells, chunks, even_labels, pack, partitions, ranges, small, split_by, table, utf8
 
 #: Bytes of a repeated string, and of the grams whose smallest hash in such a string decides where it is compared.
 LENGTH, GRAM = 50, 20
@@ -181,11 +181,25 @@ class Stretches:
         return self.prefixes.of(self.first[which], self.last[which] + length)
 
 
+def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit numbers as 32 and 16 bits."""
+    return (key & U64(0xFFFFFFFF)).astype("<u4"), (key >> U64(32)).astype("<u2")
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(U64) | (high.astype(U64) << U64(32))
+
+
 class Repeats:
-    """The steps of the operator; each runs on a bounded part of the corpus, and packed arrays travel between them."""
+    """The steps of the operator; each runs on a bounded part of the corpus, and packed arrays travel between them.
+
+    Documents and hashes are dealt to buckets; ``labels`` names them in rows, so that each bucket is a partition of its own.
+    """
 
-    def __init__(self, buckets: int, length: int, gram: int, hot: int):
-        self.buckets, self.length, self.gram, self.hot = buckets, length, gram, hot
+    def __init__(self, labels: np.ndarray, length: int, gram: int, hot: int):
+        self.labels, self.buckets, self.length, self.gram, self.hot = labels, len(labels), length, gram, hot
+        self.kind = small(self.buckets)
+        self.number = {int(x): k for k, x in enumerate(labels)}
 
     # 1: which smallest hashes do several documents have?
 
@@ -197,7 +211,8 @@ class Repeats:
             found = Stretches(raw, starts, self.length, self.gram)
             key.append(found.key)
             doc.append(found.doc + seen)
-            home.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)[found.doc])
+            numbers = np.array([self.number[x] for x in batch.column(0).to_pylist()], np.int32)
+            home.append(numbers[found.doc])
             seen += batch.num_rows
             held += len(found.key)
             if held > 1 << 20:
@@ -213,29 +228,29 @@ class Repeats:
         fresh = other | np.concatenate([[True], doc[1:] != doc[:-1]])
         at = np.flatnonzero(other)
         count = np.minimum(np.add.reduceat(fresh.astype(np.int64), at), 255).astype(np.uint8)
-        key, home = key[at], home[at]
-        rows = [(k, *pack((h & U64(0xFFFFFFFF)).astype(np.uint32), (h >> U64(32)).astype(np.uint16), b, n)) for k, (h, b, n) in split_by((key % U64(self.buckets)).astype(np.int64), key, home, count)]
+        key, home = key[at], home[at].astype(self.kind)
+        rows = [(int(self.labels[k]), *pack(*_halves(h), b, n)) for k, (h, b, n) in split_by((key % U64(self.buckets)).astype(np.int64), key, home, count)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 5))], names=["k", "low", "high", "home", "count"])
 
     ANNOUNCED = "k int, low binary, high binary, home binary, count binary"
 
     def answer(self, t: pa.Table) -> pa.Table:
         """For each bucket of documents: its hashes that several documents have, and whether very many have them."""
-        key = cells(t, "low", "<u4").astype(U64) | (cells(t, "high", "<u2").astype(U64) << U64(32))
-        home, count = cells(t, "home", "<i4"), cells(t, "count", np.uint8).astype(np.int64)
+        key = _whole(cells(t, "low", "<u4"), cells(t, "high", "<u2"))
+        home, count = cells(t, "home", self.kind).astype(np.int64), cells(t, "count", np.uint8).astype(np.int64)
         order = np.argsort(key, kind="stable")
         key, home, count = key[order], home[order], count[order]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         total = np.repeat(np.add.reduceat(count, at) if len(at) else count, np.diff(np.append(at, len(key))))
         several = total > 1
-        rows = [(b, *pack(h, f)) for b, (h, f) in split_by(home[several], key[several], (total[several] > self.hot).astype(np.uint8))]
-        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["home", "key", "hot"])
+        rows = [(int(self.labels[b]), *pack(*_halves(h), f)) for b, (h, f) in split_by(home[several], key[several], (total[several] > self.hot).astype(np.uint8))]
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.binary() if c else pa.int32()) for c in range(4)], names=["home", "low", "high", "hot"])
 
-    ANSWERED = "home int, key binary, hot binary"
+    ANSWERED = "home int, low binary, high binary, hot binary"
 
     # 2: send the stretches with such a hash to where all that share it are sorted
 
-    def _stretches(self, docs: pa.Table, known: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
+    def _stretches(self, docs: pa.Table, known: np.ndarray | None, hot: np.ndarray) -> Iterator[tuple]:
         """By chunk: texts, their starts, ids, and the stretches to compare as (window start, last, text number, content, key, hot)."""
         rows = docs.select(["doc_id", "text"]).combine_chunks().to_batches()
         for batch in chunks(iter(rows), 1):
@@ -243,11 +258,15 @@ class Repeats:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             linked = ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
             found = Stretches(raw, starts, self.length, self.gram)
-            place = np.minimum(np.searchsorted(known, found.key), max(len(known) - 1, 0))
-            hit = (known[place] == found.key) & linked[found.doc] if len(known) else np.zeros(len(found.key), bool)
-            is_hot = np.zeros(len(hit), bool)
-            if len(known):
+            hit, is_hot = linked[found.doc], np.zeros(len(found.key), bool)
+            if known is None:  # all, with the hot hashes themselves
+                is_hot = hit & np.isin(found.key, hot)
+            elif len(known):
+                place = np.minimum(np.searchsorted(known, found.key), len(known) - 1)
+                hit &= known[place] == found.key
                 is_hot[hit] = hot[place[hit]]
+            else:
+                hit[:] = False
             first, last, doc, key = found.first[hit & ~is_hot], found.last[hit & ~is_hot], found.doc[hit & ~is_hot], found.key[hit & ~is_hot]
             size = found.last[is_hot] - found.first[is_hot] + 1
             single = ranges(found.first[is_hot], size)  # each window on its own
@@ -259,7 +278,7 @@ class Repeats:
         """The distinct stretches of a bucket of documents, each with the smallest and largest document that has it."""
         import zstandard
 
-        known, hot = cells(answers, "key", "<u8"), cells(answers, "hot", np.uint8) > 0
+        known, hot = _whole(cells(answers, "low", "<u4"), cells(answers, "high", "<u2")), cells(answers, "hot", np.uint8) > 0
         order = np.argsort(known)
         known, hot = known[order], hot[order]
         parts = []
@@ -268,7 +287,7 @@ class Repeats:
             size = last - first + self.length
             parts.append((content, key, flag, ids[doc], size, raw[ranges(first, size)]))
         if not parts or not sum(len(p[0]) for p in parts):
-            return pa.Table.from_pylist([], schema=pa.schema([("k", pa.int32()), ("home", pa.int32())] + [(n, pa.binary()) for n in ("content", "key", "low", "high", "size", "bytes")]))
+            return pa.Table.from_arrays([pa.array([], pa.int32() if c < 2 else pa.binary()) for c in range(9)], names=self.NAMES)
         content, key, flag, ids, size, data = (np.concatenate([p[c] for p in parts]) for c in range(6))
         order = np.lexsort((ids, content))
         content = content[order]
@@ -277,16 +296,18 @@ class Repeats:
         begin = np.cumsum(size) - size
         which, content = order[at], content[at]
         # a hash that very many have goes, by window, to the bucket of the window's own hash
-        bucket = np.where(flag[which], content % U64(self.buckets), key[which] % U64(self.buckets)).astype(np.int64)
-        tag = np.where(flag[which], key[which] | (U64(1) << U64(63)), key[which])
+        tag = np.where(flag[which], content, key[which])
+        bucket = (tag % U64(self.buckets)).astype(np.int64)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         rows = []
         for k, (c, g, a, b, w) in split_by(bucket, content, tag, low, high, which):
-            rows.append((k, home, *pack(c), *(squeeze(x) for x in pack(g, a, b, size[w].astype("<u4"), data[ranges(begin[w], size[w])]))))
-        names = ["k", "home", "content", "key", "low", "high", "size", "bytes"]
-        return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c < 2 else pa.binary()) for c in range(8)], names=names)
+            hot_keys = np.unique(key[w[flag[w]]])
+            spread = (g >> U64(20)).astype(np.uint16)  # chooses the block that a stretch is sorted in
+            rows.append((int(self.labels[k]), home, *pack(c), *(squeeze(x) for x in pack(spread, a, b - a, size[w].astype("<u2"), data[ranges(begin[w], size[w])], hot_keys))))
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c < 2 else pa.binary()) for c in range(9)], names=self.NAMES)
 
-    SENT = "k int, home int, content binary, key binary, low binary, high binary, size binary, bytes binary"
+    NAMES = ["k", "home", "content", "spread", "low", "more", "size", "bytes", "hot"]
+    SENT = "k int, home int, content binary, spread binary, low binary, more binary, size binary, bytes binary, hot binary"
 
     # 3: sort, and answer with the smallest document of each window
 
@@ -294,11 +315,12 @@ class Repeats:
         """For each sender: runs of windows of a stretch whose string is also in a document smaller than its largest one."""
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         opened = lambda name, kind: np.concatenate([np.frombuffer(unpack(x.as_py()), kind) for x in t.column(name)])
         content = cells(t, "content", "<u8")
         sender = np.repeat(np.array(t.column("home").to_pylist(), np.int64), [len(x.as_buffer()) // 8 for x in t.column("content")])
-        key, low, high, size = opened("key", "<u8"), opened("low", "<i8"), opened("high", "<i8"), opened("size", "<u4").astype(np.int64)
+        spread, low, size = opened("spread", "<u2"), opened("low", "<i8"), opened("size", "<u2").astype(np.int64)
+        high = low + opened("more", "<i8")
         data = opened("bytes", np.uint8)
         begin = np.cumsum(size) - size
         order = np.argsort(content, kind="stable")
@@ -307,9 +329,8 @@ class Repeats:
         group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
         least, one = np.minimum.reduceat(low[order], at), order[at]
         # whole hashes to a block: equal windows have equal hashes (or, by window, equal contents)
-        tag = np.where(key[one] >> U64(63) == 1, content[one], key[one])
         blocks = max(1, int(size[one].sum()) // BLOCK_BYTES)
-        block = ((tag >> U64(20)) % U64(blocks)).astype(np.int64)
+        block = spread[one].astype(np.int64) % blocks
         runs = []
         for _, (own,) in split_by(block, np.arange(len(one))):
             runs.append(self._runs(data, begin[one[own]], size[one[own]], least[own], own))
@@ -322,11 +343,12 @@ class Repeats:
         run = ranges(lo, hi - lo)
         told = smallest[run] < high[copy]
         copy, run = copy[told], run[told]
-        rows = [(h, *pack(*x)) for h, x in split_by(sender[copy], content[copy], key[copy], a[run].astype("<u4"), b[run].astype("<u4"), smallest[run])]
-        names = ["home", "content", "key", "start", "stop", "smallest"]
-        return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.binary() if c else pa.int32()) for c in range(6)], names=names)
+        hot = {h: unpack(x.as_py()) for h, x in zip(t.column("home").to_pylist(), t.column("hot"), strict=True)}
+        answers = {h: x for h, x in split_by(sender[copy], content[copy], a[run].astype("<u2"), (b - a)[run].astype("<u2"), smallest[run])}
+        rows = [(h, *pack(x[0]), *(squeeze(y) for y in pack(*x[1:])), hot[h]) for h, x in answers.items()]
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.binary() if c else pa.int32()) for c in range(6)], names=["home", "content", "start", "count", "smallest", "hot"])
 
-    COMPARED = "home int, content binary, key binary, start binary, stop binary, smallest binary"
+    COMPARED = "home int, content binary, start binary, count binary, smallest binary, hot binary"
 
     def _runs(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, least: np.ndarray, name: np.ndarray) -> tuple:
         """(stretch, first window, last window + 1, smallest document) of the maximal runs of windows with one smallest document."""
@@ -354,15 +376,16 @@ class Repeats:
 
     def remove(self, docs: pa.Table, found: pa.Table, with_kept: bool) -> pa.Table:
         """Digests of what is left of each document."""
-        content, key = cells(found, "content", "<u8"), cells(found, "key", "<u8")
-        start, stop, smallest = (cells(found, n, k).astype(np.int64) for n, k in (("start", "<u4"), ("stop", "<u4"), ("smallest", "<i8")))
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        opened = lambda name, kind: np.concatenate([np.frombuffer(unpack(x.as_py()), kind) for x in found.column(name)] or [np.zeros(0, kind)]).astype(np.int64)
+        content, hot = cells(found, "content", "<u8"), np.unique(cells(found, "hot", "<u8"))
+        start, stop, smallest = opened("start", "<u2"), opened("count", "<u2"), opened("smallest", "<i8")
         order = np.argsort(content, kind="stable")
-        content, key, start, stop, smallest = content[order], key[order], start[order], stop[order], smallest[order]
-        hot = key >> U64(63) == 1
-        known = np.unique(key & _LOW48)
-        flags = np.isin(known, np.unique(key[hot] & _LOW48))
+        content, start, stop, smallest = content[order], start[order], (start + stop)[order], smallest[order]
         out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for raw, starts, ids, linked, first, _, doc, own, _, _ in self._stretches(docs, known, flags):
+        for raw, starts, ids, linked, first, _, doc, own, _, _ in self._stretches(docs, None, hot):
             lo, hi = np.searchsorted(content, own), np.searchsorted(content, own, side="right")
             at = np.repeat(np.arange(len(own)), hi - lo)
             run = ranges(lo, hi - lo)
@@ -410,10 +433,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     columns are not looked at.
     """
     n = partitions(docs.sparkSession)
-    buckets = 4 * n
-    steps = Repeats(buckets, length, gram, hot)
+    labels = even_labels(n)
+    steps = Repeats(labels, length, gram, hot)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = source.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("home"), "doc_id", "text")
+    source = source.select(bucket_label("doc_id", labels).alias("home"), "doc_id", "text")
     announced = source.where("doc_id is not null").mapInArrow(steps.announce, steps.ANNOUNCED)
     answers = announced.groupBy("k").applyInArrow(lambda t: steps.answer(t), steps.ANSWERED)
     at_home = source.repartition(n, "home")
