@@ -63,7 +63,7 @@ def _series(spark, names):
 @pytest.mark.parametrize(
     ("names", "subset", "step", "keys"),
     [
-        (["Karman_01.bmp", "Karman_02.bmp", "Karman_03.bmp", "Karman_04.bmp"], "pairs", 1, [1, 2, 3]),
+        (["wake_01.bmp", "wake_02.bmp", "wake_03.bmp", "wake_04.bmp"], "pairs", 1, [1, 2, 3]),
         (["c060a.png", "c060b.png", "c061a.png", "c061b.png"], "pairs", 1, [60, 61]),
         (["c060a.png", "c060b.png", "c061a.png", "c061b.png"], "i:i+2,1", 1, [60]),
         (["a1.png", "a2.png", "a3.png"], "all1by1", 1, [1, 2, 3]),

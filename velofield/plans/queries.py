@@ -596,7 +596,7 @@ def field_regularize(spark, sf_dir):
     return fields.regularize(odd).select("field_id", "iy", "ix", six("vx"))
 
 
-@query("SELECT vec_id AS field_id, round((row_number() OVER (ORDER BY vec_id) - 1) * 0.25, 6) AS t FROM embeddings")
+@query("SELECT vec_id AS field_id, round((row_number() OVER (ORDER BY vec_id) - 1) * CAST(0.25 AS DOUBLE), 6) AS t FROM embeddings")
 def field_times(spark, sf_dir):
     return fields.with_times(vector_fields(spark, sf_dir).select("field_id").distinct(), 0.25).select("field_id", six("t"))
 
@@ -626,7 +626,7 @@ def dft_temporal(spark, sf_dir):
 _SIMPLE = calibration.SimpleCalibration((0, 0), (30, 40), 0.25, 1.2, (2, 3), (0.1, -0.2))
 
 
-@query(f"WITH {FL} SELECT field_id, iy, ix, round(-0.2 + {_SIMPLE.size_x!r} * (ix - 3), 6) + 0.0 AS x_phys, round(0.1 + {_SIMPLE.size_y!r} * (iy - 2), 6) + 0.0 AS y_phys, round({_SIMPLE.size_x!r} * vx, 6) + 0.0 AS dx_phys, round({_SIMPLE.size_y!r} * vy, 6) + 0.0 AS dy_phys FROM fl")
+@query(f"WITH {FL} SELECT field_id, iy, ix, round(-0.2 + CAST({_SIMPLE.size_x!r} AS DOUBLE) * (ix - 3), 6) + 0.0 AS x_phys, round(0.1 + CAST({_SIMPLE.size_y!r} AS DOUBLE) * (iy - 2), 6) + 0.0 AS y_phys, round({_SIMPLE.size_x!r} * vx, 6) + 0.0 AS dx_phys, round({_SIMPLE.size_y!r} * vy, 6) + 0.0 AS dy_phys FROM fl")
 def calib_simple(spark, sf_dir):
     t = vector_fields(spark, sf_dir).withColumnsRenamed({"vx": "dx", "vy": "dy"})
     return _SIMPLE.displacement_to_phys(t).select("field_id", "iy", "ix", *[six(c) for c in ("x_phys", "y_phys", "dx_phys", "dy_phys")])
@@ -731,7 +731,7 @@ _VOXELS = ((-2.0, 2.0, 11), (-2.0, 2.0, 11), (-1.0, 1.0, 5))
 _K = np.array([[8.0, 0, 3.5], [0, 8.0, 3.5], [0, 0, 1.0]])
 _CAMERAS = [(calibration.rodrigues((0.05, 0.1, 0.0)), np.array([0.1, -0.1, 6.0])), (calibration.rodrigues((-0.1, 0.05, 0.02)), np.array([-0.2, 0.1, 6.5]))]
 _LENS = (0.01, 0.001, 0.002, -0.001, 0.0)
-_GRID_SQL = "vox AS (SELECT n AS ivox, -2.0 + (n % 11) * 0.4 AS x, -2.0 + ((n // 11) % 11) * 0.4 AS y, -1.0 + (n // 121) * 0.5 AS z FROM range(0, 605) t(n))"
+_GRID_SQL = "vox AS (SELECT n AS ivox, CAST(-2.0 + (n % 11) * 0.4 AS DOUBLE) AS x, CAST(-2.0 + ((n // 11) % 11) * 0.4 AS DOUBLE) AS y, CAST(-1.0 + (n // 121) * 0.5 AS DOUBLE) AS z FROM range(0, 605) t(n))"
 
 
 def _seen_sql(cam: int) -> str:
