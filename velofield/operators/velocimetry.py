@@ -64,7 +64,9 @@ def neighbour_mean(vectors: DataFrame, key: str = "key") -> DataFrame:
     which are found by an equi-join on the node, so the work is in the number of vectors.
     """
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])).alias("_o")
-    sent = vectors.where("dx is not null and dy is not null").select(key, "iy", "ix", "dx", "dy", steps)
+    # no filter here: pushed down, it would compute the vectors once more for each test
+    valid = lambda c: F.when(F.col("dx").isNotNull() & F.col("dy").isNotNull(), F.col(c)).alias(c)
+    sent = vectors.select(key, "iy", "ix", valid("dx"), valid("dy"), steps)
     sums = sent.groupBy(key, (F.col("iy") + F.col("_o.a")).alias("iy"), (F.col("ix") + F.col("_o.b")).alias("ix")).agg(F.avg("dx").alias("_mx"), F.avg("dy").alias("_my"))
     there = F.col("dx").isNotNull() & F.col("dy").isNotNull()
     joined = vectors.join(sums, [key, "iy", "ix"], "left")
