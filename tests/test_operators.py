@@ -104,7 +104,7 @@ def test_blobs_and_camera():
     matrix = np.array([[500, 0, 320, 10], [0, 500, 240, 20], [0, 0, 1, 1.0]])
     points = r.uniform(1, 3, (20, 3))
     h = np.hstack([points, np.ones((20, 1))]) @ matrix.T
-    assert tomography.calibrate_camera(points, h[:, :2] / h[:, 2:]) == pytest.approx(matrix, rel=1e-5)
+    assert tomography.calibrate_camera(points, h[:, :2] / h[:, 2:]) == pytest.approx(matrix, rel=1e-5, abs=1e-6)
 
 
 def test_phases(spark):

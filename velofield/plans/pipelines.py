@@ -40,6 +40,8 @@ def vectors_of(pairs: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], list
             out = pd.DataFrame(rows, columns=_VECTOR_NAMES)
             for c in ("pass", "ivec", "ixvec", "iyvec", "dx_input", "dy_input", "error_code"):
                 out[c] = out[c].astype("Int32")
+            out["secondary_peaks"] = [v if isinstance(v, list) else None for v in out["secondary_peaks"]]
+            out["errors"] = [v if isinstance(v, str) else None for v in out["errors"]]
             yield out
 
     # a pair may be large: few rows to a batch come from the session's Arrow settings, one pair's work from its row alone

@@ -66,6 +66,7 @@ def save_images(frames: DataFrame, folder: str, kind: str = "png") -> DataFrame:
         for part in parts:
             part = part[part["pixels"].notna()]
             made = [encode(np.rint(np.clip(np.asarray(v), 0, 65535)).astype(int).reshape(h, w)) for v, h, w in zip(part["pixels"], part["height"], part["width"], strict=True)]
-            yield pd.DataFrame({"name": [f"{folder}/{str(n).rsplit('.', 1)[0]}.{kind}" for n in part["name"]], "content": made})
+            if made:
+                yield pd.DataFrame({"name": [f"{folder}/{str(n).rsplit('.', 1)[0]}.{kind}" for n in part["name"]], "content": made})
 
     return frames.select("name", "height", "width", "pixels").mapInPandas(run, "name string, content binary")
