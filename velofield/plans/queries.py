@@ -482,10 +482,10 @@ def piv_pass0(spark, sf_dir):
     return _fixed(V.first_pass(couples(spark, sf_dir), 4, correl_min=0.2, threshold=1.0))
 
 
-@query(f"WITH {_pass0_sql()} SELECT key, CAST(ivec AS INTEGER) AS ivec, CAST(2 + 2 * ix AS INTEGER) AS civ_x, CAST(2 + 2 * iy AS INTEGER) AS civ_y, round(coalesce(dx, 0), 4) + 0.0 AS civ_u, round(coalesce(dy, 0), 4) + 0.0 AS civ_v, round(coalesce(correl_max, 0), 4) + 0.0 AS civ_c, CASE WHEN dx IS NULL OR dy IS NULL THEN 1 ELSE 0 END AS civ_ff FROM fixed")
+@query(f"WITH {_pass0_sql()} SELECT key, CAST(ivec AS INTEGER) AS ivec, CAST(2 + 2 * ix AS INTEGER) AS civ_x, CAST(2 + 2 * iy AS INTEGER) AS civ_y, round(coalesce(dx, 0), 4) + 0.0 AS civ_u, round(coalesce(dy, 0), 4) + 0.0 AS civ_v, round(coalesce(correl_max, 0), 6) + 0.0 AS civ_c, CASE WHEN dx IS NULL OR dy IS NULL THEN 1 ELSE 0 END AS civ_ff FROM fixed")
 def civ_export(spark, sf_dir):
     made = V.civ_columns(V.first_pass(couples(spark, sf_dir), 4, correl_min=0.2, threshold=1.0))
-    return made.select("key", F.col("ivec").cast("int").alias("ivec"), "civ_x", "civ_y", *[six(c, 4) for c in ("civ_u", "civ_v", "civ_c")], "civ_ff")
+    return made.select("key", F.col("ivec").cast("int").alias("ivec"), "civ_x", "civ_y", six("civ_u", 4), six("civ_v", 4), six("civ_c"), "civ_ff")
 
 
 @query(f"""WITH {FL}, a AS (SELECT *, (field_id + iy * 8 + ix) % 5 = 0 AS gone FROM fl), r AS (SELECT w.field_id AS key, w.iy, w.ix, k.vx, k.vy, row_number() OVER (PARTITION BY w.field_id, w.iy, w.ix ORDER BY (w.iy - k.iy) * (w.iy - k.iy) + (w.ix - k.ix) * (w.ix - k.ix), k.iy * 8 + k.ix) AS r
