@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velofield.llm.shared import U64, Prefixes, binaries, bucket_label, checkpointed, chunks, connected_components, even_labels, mix, partitions, ranges, split_by, table, utf8, written
+from velofield.llm.shared import U64, Prefixes, binaries, bucket_label, checkpointed, chunks, connected_components, even_labels, mix, pack, partitions, ranges, split_by, table, utf8, written
 
 #: A signature has BANDS x ROWS registers; a similar pair shares all registers of some band but for 2 in 100,000 at 0.8.
 BANDS, ROWS = 28, 5
@@ -122,9 +122,11 @@ def _equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
-def cross_pairs(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def cross_pairs(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int, own: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a bucket's members in different components that may be similar, by sizes and signatures.
 
+    ``own`` is the bucket's band: a pair that meets in an earlier band too is left to that one.
+
     A bucket too large to compare all with all is split by each other band: a similar pair shares some of these too.
     """
     if len(rep) > SIDE:
@@ -132,16 +134,19 @@ def cross_pairs(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.n
         for band in range(BANDS):
             key = np.ascontiguousarray(sig[:, band * ROWS : (band + 1) * ROWS]).view(f"V{ROWS}").ravel()
             _, part = np.unique(key, return_inverse=True)
-            for _, (own,) in split_by(part, np.arange(len(rep))):
-                if 1 < len(own) < len(rep) and (component[own] != component[own[0]]).any():
-                    found += _compared(rep[own], n[own], component[own], sig[own], percent)
-                elif len(own) == len(rep):
-                    return _compared(rep, n, component, sig, percent)
+            for _, (these,) in split_by(part, np.arange(len(rep))):
+                if 1 < len(these) < len(rep) and (component[these] != component[these[0]]).any():
+                    found += _compared(rep[these], n[these], component[these], sig[these], percent, own)
+                elif len(these) == len(rep) and band != own:
+                    return _compared(rep, n, component, sig, percent, own)
+        if found:
+            pairs = np.unique(np.stack([np.concatenate([f[c] for f in found]) for c in range(2)], 1), axis=0)
+            found = [(pairs[:, 0], pairs[:, 1])]
         return found
-    return _compared(rep, n, component, sig, percent)
+    return _compared(rep, n, component, sig, percent, own)
 
 
-def _compared(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _compared(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int, own: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     name, count = np.unique(component, return_counts=True)
     few = component != name[count.argmax()]  # each pair across components has a member outside the largest one
     if not few.any():
@@ -151,6 +156,9 @@ def _compared(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.nda
         other = np.flatnonzero((component != component[i]) & (~few | (rep > rep[i])))
         other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
         other = other[_equal_bytes(sig[other], sig[i]) >= least] if len(other) else other
+        if len(other) and own:
+            same = (sig[other, : own * ROWS] == sig[i, : own * ROWS]).reshape(len(other), own, ROWS).all(axis=2).any(axis=1)
+            other = other[~same]
         if len(other):
             found.append((np.minimum(rep[other], rep[i]), np.maximum(rep[other], rep[i])))
     return found
@@ -182,25 +190,34 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rows = []
         order = np.lexsort((a, to))
         for t, (x, y) in split_by(to[order], a[order], b[order]):
-            for one, (partners,) in split_by(x, y):
-                rows += [(t, one, x, partners.astype("<i8").tobytes()) for x in items[int(one)]]
-        return pa.Table.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["home", "a", "items", "b"])
+            ids, sizes, sets, counts, partners = [], [], [], [], []
+            for one, (with_,) in split_by(x, y):
+                for v in items[int(one)]:
+                    ids.append(one)
+                    sizes.append(len(v) // 8)
+                    sets.append(v)
+                    counts.append(len(with_))
+                    partners.append(with_)
+            rows.append((t, *pack(*(np.array(v, "<i8") for v in (ids, sizes, counts))), b"".join(sets), np.concatenate(partners).astype("<i8").tobytes()))
+        names = ["home", "a", "sizes", "counts", "items", "b"]
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.binary() if c else pa.int32()) for c in range(6)], names=names)
 
     def intersect(own: pa.Table, sent: pa.Table) -> pa.Table:
         items = {k: [np.frombuffer(x, "<u8") for x in v] for k, v in _by_id(own).items()}
         out: tuple[list[int], list[int]] = ([], [])
-        for a, x, partners in zip(sent.column("a").to_pylist(), sent.column("items").to_pylist(), sent.column("b").to_pylist(), strict=True):
-            x = np.frombuffer(x, "<u8")
-            for b in np.frombuffer(partners, "<i8"):
-                for y in items[int(b)]:
-                    place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    common = int((x[place] == y).sum())
-                    if len(x) and 100 * common >= percent * (len(x) + len(y) - common):
-                        out[0].append(a)
-                        out[1].append(int(b))
+        for row in range(sent.num_rows):
+            ids, sizes, counts, sets, partners = (np.frombuffer(sent.column(c)[row].as_buffer(), k) for c, k in (("a", "<i8"), ("sizes", "<i8"), ("counts", "<i8"), ("items", "<u8"), ("b", "<i8")))
+            for a, x, with_ in zip(ids, np.split(sets, np.cumsum(sizes)[:-1]), np.split(partners, np.cumsum(counts)[:-1]), strict=True):
+                for b in with_:
+                    for y in items[int(b)]:
+                        place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                        common = int((x[place] == y).sum())
+                        if 100 * common >= percent * (len(x) + len(y) - common):
+                            out[0].append(int(a))
+                            out[1].append(int(b))
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
-    sent = asked.groupBy("home").cogroup(at_home.groupBy("home")).applyInArrow(lambda p, s: send(s, p), "home int, a long, items binary, b binary")
+    sent = asked.groupBy("home").cogroup(at_home.groupBy("home")).applyInArrow(lambda p, s: send(s, p), "home int, a binary, sizes binary, counts binary, items binary, b binary")
     return at_home.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(lambda s, m: intersect(s, m), "a long, b long")
 
 
@@ -222,9 +239,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("one"))
     classes = checkpointed(classes.select("f1", "f2", "n", F.col("one.doc_id").alias("rep"), F.col("one.sig").alias("sig")))
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * ROWS + 1, F.lit(ROWS))))
-    bands = classes.select("rep", "n", F.explode(keys).alias("key"))
-    leaders = bands.groupBy("key").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep", "key")).alias("leader"), F.count("*").alias("members")).where("members > 1")
-    shared = checkpointed(bands.join(leaders, "key").select("key", "rep", "n", "leader"))
+    bands = classes.select("rep", "n", F.posexplode(keys).alias("band", "key"))
+    leaders = bands.groupBy("band", "key").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep", "key")).alias("leader"), F.count("*").alias("members")).where("members > 1")
+    shared = checkpointed(bands.join(leaders, ["band", "key"]).select("band", "key", "rep", "n", "leader"))
     near = (F.least("n", "leader.n") * 100 >= F.greatest("n", "leader.n") * percent) & (F.col("rep") != F.col("leader.rep"))
     star = shared.where(near).select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b")).distinct()
     sig = classes.select("rep", "sig").groupBy("rep").agg(F.min("sig").alias("sig"))
@@ -253,29 +270,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         held: list[tuple] = []
         last = None
         for batch in batches:
-            key, rep, n, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            code = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            band, key, rep, n, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            code = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])) if len(key) else np.zeros(0, np.int64)
             for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True):
-                if key[a] != last:
-                    yield from out(held)
-                    held, last = [], key[a]
+                if (band[a], key[a]) != last:
+                    yield from out(held, last)
+                    held, last = [], (band[a], key[a])
                 held.append((rep[a:b], n[a:b], component[a:b], code[a:b]))
-        yield from out(held)
+        yield from out(held, last)
 
-    def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def out(held: list[tuple], at: tuple | None) -> Iterator[pa.RecordBatch]:
         if held:
-            found = cross_pairs(*(np.concatenate([h[c] for h in held]) for c in range(4)), percent)
+            found = cross_pairs(*(np.concatenate([h[c] for h in held]) for c in range(4)), percent, int(at[0]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found]).astype(np.int64)) for c in range(2)], names=["a", "b"])
 
-    placed = shared.join(parts.toDF("rep", "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    members = placed.join(mixed, "key").join(sig, "rep").select("key", "rep", "n", "component", "sig")
-    rest = members.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    placed = shared.join(parts.toDF("rep", "component"), "rep", "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
+    members = placed.join(mixed, ["band", "key"]).join(sig, "rep").select("band", "key", "rep", "n", "component", "sig")
+    rest = members.repartition(partitions(spark), "band", "key").sortWithinPartitions("band", "key").mapInArrow(compare, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     rest = checkpointed(rest)
     if not rest.isEmpty():
-        parts = connected_components(links.union(verified(rest, sets, percent)))
+        # links between components join these; only the components are nodes of the second graph
+        more = verified(rest, sets, percent)
+        for end in ("a", "b"):
+            more = more.join(parts.toDF(end, f"c{end}"), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+        joined = connected_components(more.select("a", "b"))
+        first = parts.toDF("node", "c").join(joined.toDF("c", "d"), "c", "left").select("node", F.coalesce("d", "c").alias("component"))
+        parts = first.union(joined.join(parts.select("node"), "node", "left_anti"))
     named = classes.select("f1", "f2", "n", "rep").join(parts.toDF("rep", "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     result = rows.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     result = result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
