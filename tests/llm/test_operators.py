@@ -179,6 +179,14 @@ def test_repeats_of_short_strings(spark, values):
     assert sorted((tuple(r) for r in got), key=str) == plain_repeats(rows, 8)
 
 
+def test_repeats_beside_long_periodic_runs(spark):
+    """Runs of one smallest hash that 16 bits can't count, and other repeats that are compared beside them."""
+    words = [f"word {k * 7919 % 1009} of a passage that both texts have, " for k in range(40)]
+    rows = [(1, " " * 60 + "".join(words)), (2, "".join(words[20:]) + " " * 70_000 + "x" + "".join(words[:20])), (3, "ab cd " * 12_000), (4, "start" + "ab cd " * 23_000 + "end"), (5, "=" * 66_000), (6, "=" * 140_000 + "tail")]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_repeats(rows, 50)
+
+
 # --- 3 lines ----------------------------------------------------------------------------------------------------------
 
 

@@ -16,6 +16,8 @@ from velofield.llm.shared import U64, Prefixes, bucket_label, cells, chunks, eve
 LENGTH, GRAM = 50, 20
 #: Smallest hashes that more documents than this have are compared window by window, so that none gathers in one task.
 HOT_DOCUMENTS = 2_000
+#: Windows of a stretch, at most; longer ones (of blanks, say) are cut, so a size or a place in one fits a small type.
+STRETCH = 1 << 15
 #: Bytes that one suffix array is built of, about.
 BLOCK_BYTES = 4 << 20
 _BYTES = table(256, 23)
@@ -132,7 +134,8 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
 
 
 class Stretches:
-    """Maximal stretches of neighbouring windows with one smallest gram hash, over the texts of a chunk.
+    """Stretches of neighbouring windows with one smallest gram hash, over the texts of a chunk: maximal ones, but cut after
+    each STRETCH windows.
 
     Equal windows have equal smallest hashes, so it suffices to compare stretches that share it. ``first`` and ``last`` are
     window starts, ``key`` the hash's low 48 bits, ``doc`` the text's number.
@@ -168,6 +171,11 @@ class Stretches:
         ends = inside.copy()
         ends[:-1] &= new[1:] | ~inside[1:]
         self.last = np.flatnonzero(ends)
+        parts = (self.last - self.first) // STRETCH + 1
+        if (parts > 1).any():
+            whole_last = np.repeat(self.last, parts)
+            self.first = np.repeat(self.first, parts) + STRETCH * ranges(np.zeros(len(parts), np.int64), parts)
+            self.last = np.minimum(self.first + STRETCH - 1, whole_last)
         self.doc = np.searchsorted(starts, self.first, side="right") - 1
         self.key = least[self.first] & _LOW48
 
@@ -199,6 +207,7 @@ class Repeats:
     def __init__(self, labels: np.ndarray, length: int, gram: int, hot: int):
         self.labels, self.buckets, self.length, self.gram, self.hot = labels, len(labels), length, gram, hot
         self.kind = small(self.buckets)
+        self.place = small(STRETCH + length)  # of sizes of stretches and of places in them
         self.number = {int(x): k for k, x in enumerate(labels)}
 
     # 1: which smallest hashes do several documents have?
@@ -303,7 +312,7 @@ class Repeats:
         for k, (c, g, a, b, w) in split_by(bucket, content, tag, low, high, which):
             hot_keys = np.unique(key[w[flag[w]]])
             spread = (g >> U64(20)).astype(np.uint16)  # chooses the block that a stretch is sorted in
-            rows.append((int(self.labels[k]), home, *pack(c), *(squeeze(x) for x in pack(spread, a, b - a, size[w].astype("<u2"), data[ranges(begin[w], size[w])], hot_keys))))
+            rows.append((int(self.labels[k]), home, *pack(c), *(squeeze(x) for x in pack(spread, a, b - a, size[w].astype(self.place), data[ranges(begin[w], size[w])], hot_keys))))
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c < 2 else pa.binary()) for c in range(9)], names=self.NAMES)
 
     NAMES = ["k", "home", "content", "spread", "low", "more", "size", "bytes", "hot"]
@@ -319,7 +328,7 @@ class Repeats:
         opened = lambda name, kind: np.concatenate([np.frombuffer(unpack(x.as_py()), kind) for x in t.column(name)])
         content = cells(t, "content", "<u8")
         sender = np.repeat(np.array(t.column("home").to_pylist(), np.int64), [len(x.as_buffer()) // 8 for x in t.column("content")])
-        spread, low, size = opened("spread", "<u2"), opened("low", "<i8"), opened("size", "<u2").astype(np.int64)
+        spread, low, size = opened("spread", "<u2"), opened("low", "<i8"), opened("size", self.place).astype(np.int64)
         high = low + opened("more", "<i8")
         data = opened("bytes", np.uint8)
         begin = np.cumsum(size) - size
@@ -344,7 +353,7 @@ class Repeats:
         told = smallest[run] < high[copy]
         copy, run = copy[told], run[told]
         hot = {h: unpack(x.as_py()) for h, x in zip(t.column("home").to_pylist(), t.column("hot"), strict=True)}
-        answers = {h: x for h, x in split_by(sender[copy], content[copy], a[run].astype("<u2"), (b - a)[run].astype("<u2"), smallest[run])}
+        answers = {h: x for h, x in split_by(sender[copy], content[copy], a[run].astype(self.place), (b - a)[run].astype(self.place), smallest[run])}
         rows = [(h, *pack(x[0]), *(squeeze(y) for y in pack(*x[1:])), hot[h]) for h, x in answers.items()]
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.binary() if c else pa.int32()) for c in range(6)], names=["home", "content", "start", "count", "smallest", "hot"])
 
@@ -381,7 +390,7 @@ class Repeats:
         unpack = zstandard.ZstdDecompressor().decompress
         opened = lambda name, kind: np.concatenate([np.frombuffer(unpack(x.as_py()), kind) for x in found.column(name)] or [np.zeros(0, kind)]).astype(np.int64)
         content, hot = cells(found, "content", "<u8"), np.unique(cells(found, "hot", "<u8"))
-        start, stop, smallest = opened("start", "<u2"), opened("count", "<u2"), opened("smallest", "<i8")
+        start, stop, smallest = opened("start", self.place), opened("count", self.place), opened("smallest", "<i8")
         order = np.argsort(content, kind="stable")
         content, start, stop, smallest = content[order], start[order], (start + stop)[order], smallest[order]
         out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
