@@ -213,6 +213,23 @@ def test_chunks_resist_shifts():
     assert len(set(a) & set(b)) > 0.9 * len(a)
 
 
+def test_chunks_have_two_lines(texts):
+    """No chunk but that of a text with fewer has under two lines; repeated passages lose most of their lines."""
+    for _, text in texts:
+        sizes = [sum(1 for x in c.split("\n") if x.strip()) for c in lines.chunks_of(text)]
+        assert len(sizes) < 2 or min(sizes) >= 2
+        assert "".join(lines.chunks_of(text)) == text
+    r = np.random.default_rng(0)
+    new = lambda n: [f"line {r.integers(1 << 40)}\n" for _ in range(n)]
+    left = missed = 0
+    for _ in range(300):
+        body = new(8)
+        first = set(lines.chunks_of("".join([*new(6), *body, *new(6)])))
+        gone = sum(c.count("\n") for c in lines.chunks_of("".join([*new(5), *body, *new(7)])) if c in first and c.count("\n") > 1)
+        left, missed = left + 8 - gone, missed + (gone == 0)
+    assert left < 0.45 * 300 * 8 and missed < 0.1 * 300
+
+
 # --- 4 near-duplicates ------------------------------------------------------------------------------------------------
 
 

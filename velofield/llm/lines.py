@@ -19,8 +19,10 @@ _BYTES, _OTHER_BYTES = table(256, 37), table(256, 41)
 class LineChunks:
     """The chunks of lines of many texts: where each starts and ends in the bytes, its text, its number there, its hashes.
 
-    A line ends with its line feed. A chunk ends after a line if the rolling hash over the last ``window`` lines says so, so
-    lines put in or taken out move the boundaries near them only.
+    A line ends with its line feed. Of the lines that aren't blank, a boundary follows one whose rolling hash, over the last
+    ``window`` lines, is the least among its neighbours, ``spacing`` lines with itself; so lines put in or taken out move the
+    boundaries near them only. Between boundaries a chunk ends after every two lines, as long as two are left. So each chunk
+    has two or three lines that aren't blank, but for texts with fewer.
     """
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, window: int, spacing: int):
@@ -31,17 +33,14 @@ class LineChunks:
         doc = np.searchsorted(starts, begins, side="right") - 1
         prefixes = Prefixes(_BYTES[raw])
         line = prefixes.of(begins, ends)
-        rolling = np.zeros(len(line), U64)
-        whole = np.zeros(len(line), bool)
-        for back in range(window):  # the same weights wherever the window is
-            rolling[back:] = mix(rolling[back:] + line[: len(line) - back] * U64(2 * back + 3))
-        whole[window - 1 :] = doc[window - 1 :] == doc[: len(doc) - window + 1]
-        stop = whole & (rolling % U64(spacing) == 0)
+        full = self._words(raw, begins, ends)
+        stop = np.zeros(len(line), bool)
+        stop[self._stops(line, doc, np.flatnonzero(full), window, spacing)] = True
         last = np.ones(len(line), bool)
         last[:-1] = doc[1:] != doc[:-1]
         close = np.flatnonzero(stop | last)
         first = np.concatenate([[0], close[:-1] + 1]) if len(close) else close
-        blank = np.concatenate([[0], np.cumsum(self._words(raw, begins, ends))])
+        blank = np.concatenate([[0], np.cumsum(full)])
         self.start, self.end, self.doc = begins[first], ends[close], doc[first]
         self.lines = close - first + 1
         self.full_lines = blank[close + 1] - blank[first]
@@ -53,6 +52,34 @@ class LineChunks:
         self.other = np.zeros(0, U64)
         self._raw = raw
 
+    @staticmethod
+    def _stops(line: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int, spacing: int) -> np.ndarray:
+        """The lines that close a chunk before its text's end, of the lines ``at``, which have more than white space."""
+        n = len(at)
+        if n < 2:
+            return at[:0]
+        doc, value = doc[at], line[at]
+        near = lambda k: doc[k:] == doc[: n - k]  # noqa: E731  lines k apart that are in one text
+        rolling = np.zeros(n, U64)
+        for back in range(window):  # the same weights wherever the window is; nothing precedes a text
+            before = np.zeros(n, U64)
+            if back < n:
+                before[back:] = np.where(near(back), value[: n - back], U64(0))
+            rolling = mix(rolling + before * U64(2 * back + 3))
+        head, tail = np.ones(n, bool), np.ones(n, bool)
+        head[1:], tail[:-1] = ~near(1), ~near(1)
+        inner = ~head & ~tail & ~np.append(tail[1:], True)  # leaves two lines on both sides
+        for k in range(1, min(max(1, spacing // 2), n - 1) + 1):
+            inner[k:] &= ~near(k) | (rolling[k:] < rolling[:-k])
+            inner[:-k] &= ~near(k) | (rolling[:-k] <= rolling[k:])
+        order, close = np.arange(n), inner | tail
+        begin = np.maximum.accumulate(np.where(np.append(True, close[:-1]), order, 0))
+        end = np.minimum.accumulate(np.where(close, order, n)[::-1])[::-1]
+        upto, after = order - begin + 1, end - order
+        from_end = head[begin] & inner[end]  # what precedes a text's first boundary is counted back from it
+        pairs = (after >= 2) & np.where(from_end, (after % 2 == 0) & (upto >= 2), upto % 2 == 0)
+        return at[inner | pairs]
+
     @staticmethod
     def _words(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which lines have more than white space."""
@@ -206,8 +233,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING, i
     the candidates, which are counted over all documents; then bytes are compared. Each bucket of documents sends a chunk
     once, however many of its documents have it.
 
-    Null texts stay null and empty ones empty; a text without line feeds is one line and never loses it; chunks of one line
-    always stay; rows with the same id and the same text count as one document and keep the same chunks; rows with a null
+    Null texts stay null and empty ones empty; a text without line feeds is one line and never loses it; a text of one line
+    always stays; rows with the same id and the same text count as one document and keep the same chunks; rows with a null
     id stay whole and remove nothing; an empty table gives an empty one; other columns are not looked at, but those named in
     ``carry`` come back in the struct ``rest``.
     """
