@@ -310,6 +310,24 @@ def test_large_buckets_are_split():
     assert pairs <= want and len(pairs) > 0.999 * len(want)
 
 
+def test_large_buckets_are_compared_whole():
+    """Pairs that share no other band are found too."""
+    r = np.random.default_rng(0)
+    sig = np.tile(r.integers(0, 256, near.REGISTERS).astype(np.uint8), (2500, 1))
+    for k in range(2500):
+        if k % 2:  # a register of each band but one
+            where = np.arange(near.BANDS) * near.ROWS + r.integers(0, near.ROWS, near.BANDS)
+            sig[k, where[:3] if k % 4 == 1 else where[3:]] = r.integers(0, 256, 3 if k % 4 == 1 else near.BANDS - 3)
+        else:
+            where = r.choice(near.REGISTERS, 40, replace=False)
+            sig[k, where] = r.integers(0, 256, 40)
+    args = (r.permutation(2500), r.integers(80, 130, 2500), r.integers(0, 900, 2500) * (r.random(2500) < 0.5), sig, 80)
+    for own in (0, 3):
+        pairs = [(int(a), int(b)) for x, y in near.cross_pairs(*args, own) for a, b in zip(x, y, strict=True)]
+        want = {(int(a), int(b)) for x, y in near._compared(*args, own) for a, b in zip(x, y, strict=True)}
+        assert set(pairs) == want and len(pairs) == len(want) > 0
+
+
 # --- 5 decontamination ------------------------------------------------------------------------------------------------
 
 

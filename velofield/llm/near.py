@@ -127,23 +127,39 @@ def cross_pairs(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.n
 
     ``own`` is the bucket's band: a pair that meets in an earlier band too is left to that one.
 
-    A bucket too large to compare all with all is split by each other band: a similar pair shares some of these too.
+    A bucket of more than SIDE members is compared whole too, in blocks of SIDE x SIDE, by ranges of sizes.
     """
-    if len(rep) > SIDE:
-        found = []
-        for band in range(BANDS):
-            key = np.ascontiguousarray(sig[:, band * ROWS : (band + 1) * ROWS]).view(f"V{ROWS}").ravel()
-            _, part = np.unique(key, return_inverse=True)
-            for _, (these,) in split_by(part, np.arange(len(rep))):
-                if 1 < len(these) < len(rep) and (component[these] != component[these[0]]).any():
-                    found += _compared(rep[these], n[these], component[these], sig[these], percent, own)
-                elif len(these) == len(rep) and band != own:
-                    return _compared(rep, n, component, sig, percent, own)
-        if found:
-            pairs = np.unique(np.stack([np.concatenate([f[c] for f in found]) for c in range(2)], 1), axis=0)
-            found = [(pairs[:, 0], pairs[:, 1])]
-        return found
-    return _compared(rep, n, component, sig, percent, own)
+    compare = _compared_in_blocks if len(rep) > SIDE else _compared
+    return compare(rep, n, component, sig, percent, own)
+
+
+def _compared_in_blocks(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int, own: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ``_compared``, in the order of sizes, so blocks of sizes too far apart are skipped."""
+    order = np.argsort(n, kind="stable")
+    rep, n, component, sig = rep[order], n[order], component[order], sig[order]
+    _, member, count = np.unique(component, return_inverse=True, return_counts=True)
+    few = member != count.argmax()
+    enough = np.flatnonzero(np.arange(REGISTERS + 1) / REGISTERS >= least_estimate(percent))[0]
+    registers, found, mine = np.ascontiguousarray(sig.T), [], np.flatnonzero(few)
+    for x in np.split(mine, range(SIDE, len(mine), SIDE)) if len(mine) else ():
+        low, high = np.searchsorted(100 * n, percent * n[x[0]]), np.searchsorted(percent * n, 100 * n[x[-1]], side="right")
+        for at in range(low, high, SIDE):
+            y = np.arange(at, min(at + SIDE, high))
+            open_ = (member[x][:, None] != member[y]) & (~few[y] | (rep[y] > rep[x][:, None]))
+            open_ &= 100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y])
+            if not open_.any():
+                continue
+            equal = np.zeros(open_.shape, np.uint8)
+            for register in registers:
+                equal += (register[x][:, None] == register[y]).view(np.uint8)
+            i, j = np.nonzero(open_ & (equal >= enough))
+            for piece in range(0, len(i), 1 << 16):
+                a, b = x[i[piece : piece + (1 << 16)]], y[j[piece : piece + (1 << 16)]]
+                if own:
+                    new = ~(sig[a, : own * ROWS] == sig[b, : own * ROWS]).reshape(len(a), own, ROWS).all(axis=2).any(axis=1)
+                    a, b = a[new], b[new]
+                found.append((np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])))
+    return found
 
 
 def _compared(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int, own: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
