@@ -362,6 +362,16 @@ def test_edited_counts_equal_full_encoding(text, edits):
         assert tree.text() == text and tree.total == len(reference_ids(text)) and tree.length == len(text)
 
 
+def test_edit_after_an_emptied_last_leaf():
+    count = lambda t: len(reference_ids(t))
+    tree = counts.CountTree(["foo bar ", "baz"], [count("foo bar "), count("baz")], count)
+    tree.edit(7, 11, "")
+    seen = []
+    tree.count = lambda t: seen.append(t) or count(t)
+    assert tree.edit(7, 7, "x") == count("foo barx") and tree.text() == "foo barx"
+    assert seen == ["bar", "barx"]
+
+
 def test_counts_over_tables(docs, texts, odd):
     edits = lambda t: t.select("doc_id", "text", counts.sample_edits(F.col("text")).alias("edits"))
     for table, rows in ((docs, texts), (odd, ODD)):

@@ -61,9 +61,12 @@ class CountTree:
         return "".join(self.leaves)
 
     def find(self, at: int) -> tuple[int, int]:
-        """(leaf, place in it) of a character; the end of the text is in the last leaf."""
+        """(leaf, place in it) of a character; the end of the text is in the last leaf that isn't empty."""
         if at >= self.chars[1]:
-            return len(self.leaves) - 1, len(self.leaves[-1]) + at - self.chars[1]
+            leaf = len(self.leaves) - 1
+            while leaf and not self.leaves[leaf]:
+                leaf -= 1
+            return leaf, len(self.leaves[leaf]) + at - self.chars[1]
         k = 1
         while k < self.size:
             k *= 2
