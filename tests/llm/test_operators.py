@@ -297,35 +297,67 @@ def test_signatures_estimate_similarity():
         assert abs((s[0] == s[1]).mean() - share) < 0.15
 
 
-def test_large_buckets_are_split():
-    r = np.random.default_rng(0)
-    base = r.integers(0, 256, near.REGISTERS).astype(np.uint8)
-    sig = np.tile(base, (1500, 1))
-    for k in range(1500):
-        where = r.choice(near.REGISTERS, 100, replace=False) if k % 2 else r.choice(near.REGISTERS, 10, replace=False)
-        sig[k, where] = r.integers(0, 256, len(where))
-    args = (np.arange(1500), np.full(1500, 100), np.arange(1500), sig, 80)
-    pairs = {(int(a), int(b)) for x, y in near.cross_pairs(*args) for a, b in zip(x, y, strict=True)}
-    want = {(int(a), int(b)) for x, y in near._compared(*args) for a, b in zip(x, y, strict=True)}
-    assert pairs <= want and len(pairs) > 0.999 * len(want)
-
-
-def test_large_buckets_are_compared_whole():
-    """Pairs that share no other band are found too."""
-    r = np.random.default_rng(0)
-    sig = np.tile(r.integers(0, 256, near.REGISTERS).astype(np.uint8), (2500, 1))
-    for k in range(2500):
-        if k % 2:  # a register of each band but one
-            where = np.arange(near.BANDS) * near.ROWS + r.integers(0, near.ROWS, near.BANDS)
-            sig[k, where[:3] if k % 4 == 1 else where[3:]] = r.integers(0, 256, 3 if k % 4 == 1 else near.BANDS - 3)
-        else:
-            where = r.choice(near.REGISTERS, 40, replace=False)
-            sig[k, where] = r.integers(0, 256, 40)
-    args = (r.permutation(2500), r.integers(80, 130, 2500), r.integers(0, 900, 2500) * (r.random(2500) < 0.5), sig, 80)
-    for own in (0, 3):
-        pairs = [(int(a), int(b)) for x, y in near.cross_pairs(*args, own) for a, b in zip(x, y, strict=True)]
-        want = {(int(a), int(b)) for x, y in near._compared(*args, own) for a, b in zip(x, y, strict=True)}
-        assert set(pairs) == want and len(pairs) == len(want) > 0
+def joined(pairs, label):
+    """Each member's component once the pairs' components are joined."""
+    label = np.array(label)
+    for a, b in pairs:
+        label[label == max(label[a], label[b])] = min(label[a], label[b])
+    return label.tolist()
+
+
+@pytest.mark.parametrize("own", [0, 3])
+def test_tiles_join_what_full_sets_join(own):
+    """A bucket of some that are similar, many that miss it by little, and signatures that rule some pairs out."""
+    r = np.random.default_rng(own)
+    base = np.sort(r.integers(0, 1 << 62, 120).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[r.random(120) < r.choice([0.99, 0.93, 0.5])], r.integers(0, 1 << 62, int(r.integers(0, 12))).astype(np.uint64)])) for _ in range(400)]
+    n, rep, component, side = np.array([len(x) for x in sets]), r.permutation(400), r.integers(0, 90, 400) * (r.random(400) < 0.7), r.integers(0, 2, 400)
+    sig = (near.mix(near.signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))) >> np.uint64(32)).astype(np.uint8)
+    place, enough = np.argsort(rep), near.least_estimate(80) * near.REGISTERS
+    for sides in (np.zeros(400, int), side):
+        want = []
+        for a in range(400):
+            for b in range(a):
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                met = own and (sig[a, : own * near.ROWS] == sig[b, : own * near.ROWS]).reshape(own, near.ROWS).all(axis=1).any()
+                if 100 * common >= 80 * (n[a] + n[b] - common) and (sig[a] == sig[b]).sum() >= enough and not met and (sides is not side or side[a] != side[b]):
+                    want.append((a, b))
+        tile = lambda: near.Tile(rep, n, component, sides, sig, 80, own)  # noqa: B023, E731
+        found = [(int(place[a]), int(place[b])) for a, b in tile().links(sets)]
+        assert len(found) < len(set(component)) < len(want)
+        assert joined(found, component) == joined(want, component)
+        active = set(tile().active().tolist())
+        assert {k for a, b in want for k in (a, b) if component[a] != component[b]} <= active < set(range(400))
+
+
+def test_large_groups_that_are_not_links(spark):
+    """5,000 near copies, hardly any two similar enough, and a few that are; blocks are smaller than the buckets."""
+    r = np.random.default_rng(3)
+    has = np.ones((5000, 60), np.float32)  # which of 60 words that all share each text has; its other words are its own
+    for k in range(5000):
+        has[k, r.choice(60, 2 if k % 50 else 1, replace=False)] = 0
+    rows = [(k, " ".join(f"w{at}" if x else f"x{k}y{at}" for at, x in enumerate(own))) for k, own in enumerate(has)]
+    common = has @ has.T
+    want = joined(np.argwhere(np.triu(100 * common >= 95 * (120 - common), 1)), np.arange(5000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {}
+    for side, part in ((near.SIDE, docs), (150, docs.where("doc_id < 1000"))):
+        old, near.SIDE = near.SIDE, side
+        try:
+            made[side] = [r["component_id"] for r in near.near_duplicates(part, 1, 95).orderBy("doc_id").collect()]
+        finally:
+            near.SIDE = old
+    assert made[near.SIDE] == want and 1000 < len(set(want)) < 5000
+    few = common[:1000, :1000]
+    assert made[150] == joined(np.argwhere(np.triu(100 * few >= 95 * (120 - few), 1)), np.arange(1000))
+
+
+def test_an_id_with_two_texts(spark):
+    """Each text of an id links it."""
+    a, b = " ".join(f"a{k}" for k in range(90)), " ".join(f"b{k}" for k in range(90))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (3, b + " end"), (4, "other words here that no text has")]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4} and len(got) == len(rows)
 
 
 # --- 5 decontamination ------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velofield.llm.shared import U64, Prefixes, binaries, bucket_label, checkpointed, chunks, connected_components, even_labels, mix, pack, partitions, ranges, split_by, table, utf8, written
+from velofield.llm.shared import U64, Prefixes, binaries, checkpointed, chunks, connected_components, mix, partitions, ranges, table, utf8, written
 
 #: A signature has BANDS x ROWS registers; a similar pair shares all registers of some band but for 2 in 100,000 at 0.8.
 BANDS, ROWS = 28, 5
@@ -18,8 +18,8 @@ REGISTERS = BANDS * ROWS
 DEVIATIONS = 5
 #: Ids that are sent to every task, at most; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-#: Members of a bucket whose signatures are compared with each other at once.
-SIDE = 1024
+#: Members of a bucket, and bytes of their sets, that make a block; each pair of blocks of a large bucket is compared alone.
+SIDE, SIDE_BYTES = 1024, 16 << 20
 
 _LOWER = np.arange(256, dtype=np.int64)
 _LOWER[65:91] += 32
@@ -118,123 +118,168 @@ def least_estimate(percent: int) -> float:
     return t - DEVIATIONS * (t * (1 - t) / REGISTERS) ** 0.5
 
 
-def _equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=-1)
+class Tile:
+    """A bucket's members, or two blocks of a large bucket's, in the order of their numbers of shingles.
 
+    ``component`` is what earlier steps have linked each to, ``side`` its block: of two blocks only pairs across them are
+    looked at. ``own`` is the bucket's band: a pair that meets in an earlier band too is left to that one.
+    """
 
-def cross_pairs(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int, own: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket's members in different components that may be similar, by sizes and signatures.
+    def __init__(self, rep: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, sig: np.ndarray, percent: int, own: int = 0):
+        self.order = np.argsort(n, kind="stable")
+        self.rep, self.n, self.side = rep[self.order], n[self.order], side[self.order]
+        self.sig = np.ascontiguousarray(sig[self.order])
+        _, self.label, count = np.unique(component[self.order], return_inverse=True, return_counts=True)
+        self.most = int(count.argmax())  # each pair across components has a member outside the largest one
+        self.percent, self.own, self.cross = percent, own, len(np.unique(side)) > 1
+        self.enough = int(np.flatnonzero(np.arange(REGISTERS + 1) / REGISTERS >= least_estimate(percent))[0])
+        self.low = np.searchsorted(100 * self.n, percent * self.n)  # sizes too far apart can't be similar
+        self.high = np.searchsorted(percent * self.n, 100 * self.n, side="right")
+
+    def partners(self, i: int, few: np.ndarray) -> np.ndarray:
+        """The members that may be similar to member ``i`` and are in another component now; each pair is asked for once."""
+        at = np.arange(self.low[i], self.high[i])
+        open_ = (self.label[at] != self.label[i]) & (~few[at] | (at > i))
+        if self.cross:
+            open_ &= self.side[at] != self.side[i]
+        at = at[open_]
+        if len(at):
+            equal = self.sig[at] == self.sig[i]
+            alike = np.count_nonzero(equal, axis=1) >= self.enough
+            if self.own and alike.any():
+                alike &= ~equal[:, : self.own * ROWS].reshape(len(at), self.own, ROWS).all(axis=2).any(axis=1)
+            at = at[alike]
+        return at
+
+    def active(self) -> np.ndarray:
+        """The places, in the order given, of the members that have a partner at all."""
+        few = self.label != self.most
+        found = np.zeros(len(few), bool)
+        for i in np.flatnonzero(few):
+            at = self.partners(i, few)
+            found[at] = True
+            found[i] |= len(at) > 0
+        return self.order[found]
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links that join the components of similar members, one for each joining; ``sets`` are in the order given.
+
+        Full sets decide. Members that a link has joined aren't compared again, so a bucket of n similar members costs n.
+        """
+        few = self.label != self.most
+        sets = [sets[k] for k in self.order]
+        size = np.array([len(x) for x in sets], np.int64)
+        upto = np.cumsum(size) - size
+        _, word = np.unique(np.concatenate(sets), return_inverse=True)
+        mark, found = np.zeros(int(word.max()) + 1, bool), []
+        for i in np.flatnonzero(few):
+            at = self.partners(i, few)
+            mine = word[upto[i] : upto[i] + size[i]]
+            mark[mine] = True
+            for piece in _pieces(size[at], 1 << 22):
+                part = at[piece]
+                part = part[self.label[part] != self.label[i]]
+                if not len(part):
+                    continue
+                common = np.add.reduceat(mark[word[ranges(upto[part], size[part])]], np.cumsum(size[part]) - size[part], dtype=np.int64)
+                similar = part[100 * common >= self.percent * (size[part] + size[i] - common)]
+                for j in similar[np.unique(self.label[similar], return_index=True)[1]]:
+                    found.append((int(self.rep[i]), int(self.rep[j])))
+                    self.label[self.label == self.label[j]] = self.label[i]
+            mark[mine] = False
+        return found
+
+
+def _pieces(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of about ``most`` together."""
+    upto, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each tile: of neighbouring rows with one value in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cut = np.flatnonzero(new).tolist()
+        for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+            name = tuple(int(c[a]) for c in columns)
+            if held and name != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = name
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tile(t: pa.Table, percent: int) -> Tile:
+    rep, n, component, side = (t.column(c).to_numpy() for c in ("rep", "n", "component", "side"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    return Tile(rep, n, component, side, sig, percent, t.column("band")[0].as_py())
+
+
+#: What names a tile, and what its members bring along.
+_NAME, _MEMBER = ["band", "key", "p", "q"], ["rep", "n", "component", "side"]
+
+
+def cross_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each bucket's members, as few as join those that similar members join.
+
+    ``members`` has band, key, rep, n, component, sig. A bucket with more members than SIDE, or with larger sets than
+    SIDE_BYTES, is dealt out: its members go to blocks by a hash, and each pair of blocks is a tile. Signatures are compared
+    first, and only members that may have a partner in another component bring their sets. A tile joins what it finds at
+    once (union-find) and returns no more links than it has components.
+    """
+    spark = members.sparkSession
+    size = F.count("*").alias("_members"), F.sum("n").alias("_shingles")
+    mixed = members.groupBy("band", "key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), *size).where("_low <> _high")
+    blocks = F.greatest(F.ceil(F.col("_members") / SIDE), F.ceil(F.col("_shingles") * 8 / SIDE_BYTES)).cast("long")
+    inside = members.join(mixed.select("band", "key", blocks.alias("_blocks")), ["band", "key"])
+    inside = inside.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("_blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    inside = inside.select("band", "key", F.least("side", "_other").alias("p"), F.greatest("side", "_other").alias("q"), *_MEMBER, "sig")
+    dealt = lambda df: df.repartition(partitions(spark), *_NAME).sortWithinPartitions(*_NAME)
 
-    ``own`` is the bucket's band: a pair that meets in an earlier band too is left to that one.
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tiles(batches, len(_NAME)):
+            yield from t.take(pa.array(_tile(t, percent).active())).to_batches()
 
-    A bucket of more than SIDE members is compared whole too, in blocks of SIDE x SIDE, by ranges of sizes.
-    """
-    compare = _compared_in_blocks if len(rep) > SIDE else _compared
-    return compare(rep, n, component, sig, percent, own)
-
-
-def _compared_in_blocks(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int, own: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of ``_compared``, in the order of sizes, so blocks of sizes too far apart are skipped."""
-    order = np.argsort(n, kind="stable")
-    rep, n, component, sig = rep[order], n[order], component[order], sig[order]
-    _, member, count = np.unique(component, return_inverse=True, return_counts=True)
-    few = member != count.argmax()
-    enough = np.flatnonzero(np.arange(REGISTERS + 1) / REGISTERS >= least_estimate(percent))[0]
-    registers, found, mine = np.ascontiguousarray(sig.T), [], np.flatnonzero(few)
-    for x in np.split(mine, range(SIDE, len(mine), SIDE)) if len(mine) else ():
-        low, high = np.searchsorted(100 * n, percent * n[x[0]]), np.searchsorted(percent * n, 100 * n[x[-1]], side="right")
-        for at in range(low, high, SIDE):
-            y = np.arange(at, min(at + SIDE, high))
-            open_ = (member[x][:, None] != member[y]) & (~few[y] | (rep[y] > rep[x][:, None]))
-            open_ &= 100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y])
-            if not open_.any():
-                continue
-            equal = np.zeros(open_.shape, np.uint8)
-            for register in registers:
-                equal += (register[x][:, None] == register[y]).view(np.uint8)
-            i, j = np.nonzero(open_ & (equal >= enough))
-            for piece in range(0, len(i), 1 << 16):
-                a, b = x[i[piece : piece + (1 << 16)]], y[j[piece : piece + (1 << 16)]]
-                if own:
-                    new = ~(sig[a, : own * ROWS] == sig[b, : own * ROWS]).reshape(len(a), own, ROWS).all(axis=2).any(axis=1)
-                    a, b = a[new], b[new]
-                found.append((np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])))
-    return found
-
-
-def _compared(rep: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int, own: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    name, count = np.unique(component, return_counts=True)
-    few = component != name[count.argmax()]  # each pair across components has a member outside the largest one
-    if not few.any():
-        return []
-    least, found = least_estimate(percent), []
-    for i in np.flatnonzero(few):
-        other = np.flatnonzero((component != component[i]) & (~few | (rep > rep[i])))
-        other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
-        other = other[_equal_bytes(sig[other], sig[i]) >= least] if len(other) else other
-        if len(other) and own:
-            same = (sig[other, : own * ROWS] == sig[i, : own * ROWS]).reshape(len(other), own, ROWS).all(axis=2).any(axis=1)
-            other = other[~same]
-        if len(other):
-            found.append((np.minimum(rep[other], rep[i]), np.maximum(rep[other], rep[i])))
-    return found
-
-
-def _by_id(own: pa.Table) -> dict[int, list[bytes]]:
-    """The sets of each id; an id has several where rows repeat it with other texts."""
-    found: dict[int, list[bytes]] = {}
-    for k, v in zip(own.column("doc_id").to_pylist(), own.column("items").to_pylist(), strict=True):
-        if v and v not in found.setdefault(k, []):
-            found[k].append(v)
-    return found
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tiles(batches, len(_NAME)):
+            found = _tile(t, percent).links([np.frombuffer(x.as_buffer(), "<u8") for x in t.column("items")])
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(2)], names=["a", "b"])
+
+    active = dealt(inside).mapInArrow(choose, inside.schema)
+    brought = active.join(sets.select(F.col("doc_id").alias("rep"), "n", "items"), ["rep", "n"]).select(*inside.columns, "items")
+    return dealt(brought).mapInArrow(link, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Each set goes once to every bucket of partners, where it is intersected with theirs.
+    Sets are joined to pairs, b's last: where very many pairs have one b, the join's partition can be split.
     """
-    n = partitions(pairs.sparkSession)
-    labels = even_labels(n)
-    home = lambda c: bucket_label(c, labels)
-    at_home = sets.select(home("doc_id").alias("home"), "doc_id", "items").repartition(n, "home")
-    asked = pairs.select(home("a").alias("home"), "a", "b", home("b").alias("to"))
-
-    def send(own: pa.Table, asks: pa.Table) -> pa.Table:
-        items = _by_id(own)
-        a, b, to = (asks.column(c).to_numpy() for c in ("a", "b", "to"))
-        rows = []
-        order = np.lexsort((a, to))
-        for t, (x, y) in split_by(to[order], a[order], b[order]):
-            ids, sizes, sets, counts, partners = [], [], [], [], []
-            for one, (with_,) in split_by(x, y):
-                for v in items[int(one)]:
-                    ids.append(one)
-                    sizes.append(len(v) // 8)
-                    sets.append(v)
-                    counts.append(len(with_))
-                    partners.append(with_)
-            rows.append((t, *pack(*(np.array(v, "<i8") for v in (ids, sizes, counts))), b"".join(sets), np.concatenate(partners).astype("<i8").tobytes()))
-        names = ["home", "a", "sizes", "counts", "items", "b"]
-        return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.binary() if c else pa.int32()) for c in range(6)], names=names)
-
-    def intersect(own: pa.Table, sent: pa.Table) -> pa.Table:
-        items = {k: [np.frombuffer(x, "<u8") for x in v] for k, v in _by_id(own).items()}
-        out: tuple[list[int], list[int]] = ([], [])
-        for row in range(sent.num_rows):
-            ids, sizes, counts, sets, partners = (np.frombuffer(sent.column(c)[row].as_buffer(), k) for c, k in (("a", "<i8"), ("sizes", "<i8"), ("counts", "<i8"), ("items", "<u8"), ("b", "<i8")))
-            for a, x, with_ in zip(ids, np.split(sets, np.cumsum(sizes)[:-1]), np.split(partners, np.cumsum(counts)[:-1]), strict=True):
-                for b in with_:
-                    for y in items[int(b)]:
-                        place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                        common = int((x[place] == y).sum())
-                        if 100 * common >= percent * (len(x) + len(y) - common):
-                            out[0].append(int(a))
-                            out[1].append(int(b))
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
-
-    sent = asked.groupBy("home").cogroup(at_home.groupBy("home")).applyInArrow(lambda p, s: send(s, p), "home int, a binary, sizes binary, counts binary, items binary, b binary")
-    return at_home.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(lambda s, m: intersect(s, m), "a long, b long")
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    own = sets.select("doc_id", "items")
+    return pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,8 +287,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Documents with equal sets form a class, whose smallest id stands for it. Bands of SuperMinHash signatures give buckets;
     in each bucket a leader, another one in each band, is compared with all members, on full sets. Components of the links
-    found are formed, and then all pairs of a bucket's members in different components are compared too, so large buckets
-    of similar documents cost little and no link between components is lost. Signatures and sizes only rule out pairs.
+    found are formed, and then the members of a bucket that are in different components are compared too, all with all, and
+    joined by union-find (see ``cross_links``); so large buckets of similar documents cost little, and no list of pairs is
+    made. Signatures and sizes only rule out pairs. What is missed: a similar pair that shares no band (2 in 100,000 at a
+    similarity of 0.8, fewer above), or whose signature is DEVIATIONS standard deviations off.
 
     Null and empty texts, and texts of white space, have empty sets and are linked with nothing; rows with one id count as
     one document with each of its texts; rows with a null id link nothing and keep a null component; an empty table gives
@@ -259,60 +306,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     leaders = bands.groupBy("band", "key").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep", "key")).alias("leader"), F.count("*").alias("members")).where("members > 1")
     shared = checkpointed(bands.join(leaders, ["band", "key"]).select("band", "key", "rep", "n", "leader"))
     near = (F.least("n", "leader.n") * 100 >= F.greatest("n", "leader.n") * percent) & (F.col("rep") != F.col("leader.rep"))
-    star = shared.where(near).select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b")).distinct()
-    sig = classes.select("rep", "sig").groupBy("rep").agg(F.min("sig").alias("sig"))
+    star = shared.where(near).select("rep", "leader.rep").toDF("a", "b")
+    star = star.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("b").alias("b")).select((F.col("low") + F.col("high") - F.col("b")).alias("a"), "b")  # b leads
+    sig = classes.select("rep", "n", "sig")
     least = least_estimate(percent)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array(_equal_bytes(x, y) >= least))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
-    star = checkpointed(star.join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(likely, "a long, b long"))
+    star = star.join(sig.select("rep", "sig").toDF("a", "x"), "a").join(sig.select("rep", "sig").toDF("b", "y"), "b").select("a", "b", "x", "y")
+    star = checkpointed(star.mapInArrow(likely, "a long, b long").distinct())
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
     few = wanted.count() <= BROADCAST_IDS
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1):
             value, first = shingles(*utf8(batch.column(1)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), binaries(value.astype("<u8"), first * 8)], names=["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), binaries(value.astype("<u8"), first * 8)], names=["doc_id", "n", "items"])
 
     # every id that is in a pair has its sets here
-    sets = written(source.join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(full, "doc_id long, items binary"), "sets")
-    links = checkpointed(verified(star, sets, percent))
-    parts = connected_components(links)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None
-        for batch in batches:
-            band, key, rep, n, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
-            code = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])) if len(key) else np.zeros(0, np.int64)
-            for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True):
-                if (band[a], key[a]) != last:
-                    yield from out(held, last)
-                    held, last = [], (band[a], key[a])
-                held.append((rep[a:b], n[a:b], component[a:b], code[a:b]))
-        yield from out(held, last)
-
-    def out(held: list[tuple], at: tuple | None) -> Iterator[pa.RecordBatch]:
-        if held:
-            found = cross_pairs(*(np.concatenate([h[c] for h in held]) for c in range(4)), percent, int(at[0]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found]).astype(np.int64)) for c in range(2)], names=["a", "b"])
-
+    sets = written(source.join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(full, "doc_id long, n long, items binary").where("n > 0"), "sets")
+    if not sets.groupBy("doc_id", "n").count().where("count > 1").isEmpty():  # ids that rows repeat
+        sets = written(sets.distinct(), "sets")
+    parts = connected_components(checkpointed(verified(star, sets, percent)))
     placed = shared.join(parts.toDF("rep", "component"), "rep", "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    members = placed.join(mixed, ["band", "key"]).join(sig, "rep").select("band", "key", "rep", "n", "component", "sig")
-    rest = members.repartition(partitions(spark), "band", "key").sortWithinPartitions("band", "key").mapInArrow(compare, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    rest = checkpointed(rest)
+    rest = checkpointed(cross_links(placed.join(sig, ["rep", "n"]), sets, percent))
     if not rest.isEmpty():
         # links between components join these; only the components are nodes of the second graph
-        more = verified(rest, sets, percent)
         for end in ("a", "b"):
-            more = more.join(parts.toDF(end, f"c{end}"), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
-        joined = connected_components(more.select("a", "b"))
+            rest = rest.join(parts.toDF(end, f"c{end}"), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+        joined = connected_components(rest.select("a", "b"))
         first = parts.toDF("node", "c").join(joined.toDF("c", "d"), "c", "left").select("node", F.coalesce("d", "c").alias("component"))
         parts = first.union(joined.join(parts.select("node"), "node", "left_anti"))
     named = classes.select("f1", "f2", "n", "rep").join(parts.toDF("rep", "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
