@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import assert_same
 from hypothesis import given, settings
@@ -206,6 +207,56 @@ def test_line_chunks(docs, texts, odd):
     assert lines.dedup_lines(odd.limit(0)).count() == 0
 
 
+def plain_chunks(text, window=lines.WINDOW, spacing=lines.SPACING):
+    """The rule of boundaries, line by line; only the hash of a line is the operator's."""
+    every = [x for x in re.split(r"(?<=\n)", text) if x]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ends = np.cumsum([len(x.encode()) for x in every])
+    value = [int(h) for h in shared.Prefixes(lines._BYTES[raw]).of(np.concatenate([[0], ends[:-1]]), ends)] if every else []
+    full = [k for k, x in enumerate(every) if any(b > 32 for b in x.encode())]
+    rolling = []
+    for k in range(len(full)):
+        h = 0
+        for back in range(window):
+            h = shared.mix_int(h + (value[full[k - back]] if k >= back else 0) * (2 * back + 3))
+        rolling.append(h)
+    inner = []
+    for k in range(1, len(full) - 2):
+        before, after = rolling[max(0, k - spacing // 2) : k], rolling[k + 1 : k + 1 + spacing // 2]
+        if all(rolling[k] < x for x in before) and all(rolling[k] <= x for x in after):
+            inner.append(k)
+    stops, edges = set(inner), [-1, *inner, len(full) - 1]
+    for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        if n == 0 and inner:  # counted back from the first boundary
+            stops.update(k for k in range(b - 2, a + 1, -2) if k - a >= 2)
+        else:
+            stops.update(k for k in range(a + 2, b - 1, 2))
+    out, held = [], ""
+    last = {full[k] for k in stops}
+    for k, x in enumerate(every):
+        held += x
+        if k in last:
+            out.append(held)
+            held = ""
+    return [*out, held] if held else out
+
+
+def test_chunks_equal_a_plain_rule(texts):
+    for _, text in [*texts, *((0, t) for _, t in ODD)]:
+        assert lines.chunks_of(text or "") == plain_chunks(text or "")
+
+
+def test_chunks_with_equal_hashes_stay(spark, monkeypatch):
+    """Hashes that all collide choose wrong candidates; bytes decide."""
+    rows = [(1, "aa\nbb\n"), (2, "cc\ndd\n"), (3, "aa\nbb\n"), (4, "eeee\nff\n")]
+    steps = lines.Steps(np.zeros(1, np.int32), 2, 3)
+    docs = pa.table({"home": pa.array([0] * 4, pa.int32()), "doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    monkeypatch.setattr(lines.Prefixes, "of", lambda self, a, b: np.full(len(a), 7, np.uint64))
+    answers = pa.table({"home": pa.array([0], pa.int32()), "hash": pa.array([np.array([7], "<u8").tobytes()])})
+    got = steps.remove(docs, steps.compare(steps.send(docs, answers)))
+    assert got.column("text").to_pylist() == ["aa\nbb\n", "cc\ndd\n", "", "eeee\nff\n"]
+
+
 def test_chunks_resist_shifts():
     r = np.random.default_rng(0)
     body = [f"line {r.integers(1 << 30)}\n" for _ in range(200)]

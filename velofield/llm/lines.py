@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velofield.llm.shared import U64, Prefixes, bucket_label, cells, chunks, even_labels, mix, pack, partitions, ranges, small, split_by, table, utf8
+from velofield.llm.shared import U64, Prefixes, bucket_label, buckets, cells, chunks, even_labels, mix, nullable, pack, ranges, small, split_by, table, utf8
 
 #: Lines whose rolling hash decides on a boundary, and one in how many lines is one.
 WINDOW, SPACING = 2, 3
@@ -193,23 +193,51 @@ class Steps:
 
     COMPARED = "home int, hash binary, second binary, doc binary, number binary"
 
+    @staticmethod
+    def _equal(parts: list[tuple], mine: list[np.ndarray], known: np.ndarray, doc: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
+        """By part: the chunks to remove, those with a first place elsewhere and, byte for byte, the text that was sent for it.
+
+        ``mine`` are the candidates' keys, ``known`` the sorted keys of chunks with their first places. What was sent is the
+        bucket's smallest of a key, so all others of the bucket are held against that one.
+        """
+        if not len(known) or not sum(map(len, mine)):
+            return [np.zeros(0, np.int64) for _ in parts]
+        key = np.concatenate(mine)
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        hit = known[place] == key
+        which = np.concatenate([w for *_, w, _ in parts])
+        at = np.concatenate([np.full(len(m), k) for k, m in enumerate(mine)])
+        ids = np.concatenate([i[own.doc[w]] for _, _, _, i, _, own, w, _ in parts])
+        count = np.concatenate([own.number[w] for *_, own, w, _ in parts])
+        size = np.concatenate([own.end[w] - own.start[w] for *_, own, w, _ in parts])
+        begin = np.concatenate([own.start[w] for *_, own, w, _ in parts]) + np.cumsum([0, *(len(raw) for _, raw, *_ in parts)])[at]
+        raw = np.concatenate([r for _, r, *_ in parts])
+        order = np.lexsort((count, ids, key))
+        head = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        sent = np.empty(len(key), np.int64)
+        sent[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+        other = np.flatnonzero(hit & (size == size[sent]) & ((doc[place] != ids) | (number[place] != count)))
+        same = np.zeros(len(other), bool)
+        for piece in range(0, len(other), 1 << 12):
+            x = other[piece : piece + (1 << 12)]
+            alike = raw[ranges(begin[x], size[x])] == raw[ranges(begin[sent[x]], size[x])]
+            same[piece : piece + len(x)] = np.logical_and.reduceat(alike, np.cumsum(size[x]) - size[x]) if len(x) else False
+        other = other[same]
+        return [which[other[at[other] == k]] for k in range(len(parts))]
+
     def remove(self, docs: pa.Table, found: pa.Table) -> pa.Table:
         """The texts without the chunks whose first place is elsewhere."""
         hash_, second, doc, number = (cells(found, n, k) for n, k in (("hash", "<u8"), ("second", "<u8"), ("doc", "<i8"), ("number", "<i8")))
-        order = np.lexsort((second, hash_))
-        hash_, second, doc, number = hash_[order], second[order], doc[order], number[order]
         both = mix(hash_ ^ mix(second))
         by = np.argsort(both)
-        both = both[by]
+        both, doc, number = both[by], doc[by], number[by]
         rest: list[pa.Array] = []
         out: dict[str, list] = {n: [] for n in ("doc_id", "text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")}
-        for batch, raw, starts, ids, null, own, which, other in self._candidates(docs, hash_):
-            mine = mix(own.hash[which] ^ mix(other))
-            at = np.minimum(np.searchsorted(both, mine), max(len(both) - 1, 0))
+        parts = list(self._candidates(docs, hash_))
+        mine = [mix(own.hash[which] ^ mix(other)) for _, _, _, _, _, own, which, other in parts]
+        for (batch, raw, starts, ids, null, own, _, _), equal in zip(parts, self._equal(parts, mine, both, doc, number), strict=True):
             gone = np.zeros(len(own.start), bool)
-            if len(both):
-                place = by[at]
-                gone[which] = (both[at] == mine) & ((doc[place] != ids[own.doc[which]]) | (number[place] != own.number[which]))
+            gone[equal] = True
             upto = np.searchsorted(own.doc, np.arange(len(ids) + 1))
             lines, removed, chunks_gone = (np.concatenate([[0], np.cumsum(x)]) for x in (own.lines, own.lines * gone, gone))
             for k in range(len(ids)):
@@ -220,7 +248,7 @@ class Steps:
                     text = raw[ranges(own.start[stay], own.end[stay] - own.start[stay])].tobytes().decode("utf-8", "replace")
                 for name, value in zip(out, (None if null[k] else int(ids[k]), text, int(lines[b] - lines[a]), int(b - a), int(chunks_gone[b] - chunks_gone[a]), int(removed[b] - removed[a])), strict=True):
                     out[name].append(value)
-            rest += [batch.column(2)] if batch.num_columns > 2 else []
+            rest += [batch.column(2).cast(nullable(batch.column(2).type))] if batch.num_columns > 2 else []
         table_ = pa.Table.from_arrays([pa.array(v, pa.string() if n == "text" else pa.int64()) for n, v in out.items()], names=list(out))
         return table_.append_column("rest", pa.chunked_array(rest)) if rest else table_
 
@@ -230,19 +258,20 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING, i
 
     Rolling hashes over line hashes cut each text into chunks. A chunk with at least two lines that aren't blank, and whose
     bytes occur more than once, stays only where it is first: in the smallest document, at the first place. Hashes choose
-    the candidates, which are counted over all documents; then bytes are compared. Each bucket of documents sends a chunk
-    once, however many of its documents have it.
+    the candidates, which are counted over all documents; then bytes are compared: those of a bucket's documents with the one
+    chunk of them that the bucket sends, and what buckets send with each other. A chunk whose hashes, but not its bytes, are
+    another's stays.
 
     Null texts stay null and empty ones empty; a text without line feeds is one line and never loses it; a text of one line
     always stays; rows with the same id and the same text count as one document and keep the same chunks; rows with a null
     id stay whole and remove nothing; an empty table gives an empty one; other columns are not looked at, but those named in
     ``carry`` come back in the struct ``rest``.
     """
-    n = partitions(docs.sparkSession)
-    labels = even_labels(n)
-    steps = Steps(labels, window, spacing)
     rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *rest)
+    n = buckets(source, "text")
+    labels = even_labels(n)
+    steps = Steps(labels, window, spacing)
     source = source.select(bucket_label("doc_id", labels).alias("home"), *source.columns)
     announced = source.select("home", "doc_id", "text").where("doc_id is not null").mapInArrow(steps.announce, steps.ANNOUNCED)
     answers = announced.groupBy("k").applyInArrow(lambda t: steps.answer(t), steps.ANSWERED)

@@ -18,15 +18,38 @@ CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
 
+#: Bytes of input files that make a hash bucket of documents or keys, which one task holds whole.
+BUCKET_BYTES = 32 << 20
+
+
 def partitions(spark: SparkSession) -> int:
-    """Shuffle partitions of the session: the number of key ranges or hash buckets that operators use."""
+    """Shuffle partitions of the session: the least number of key ranges or hash buckets that operators use."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(df: DataFrame, text: str, bucket: int = BUCKET_BYTES) -> int:
+    """Hash buckets for the rows of a table: one for each ``bucket`` bytes of its files, the session's partitions at least.
+
+    Where the plan doesn't know the size of its files, the bytes of the ``text`` column are counted.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    weight = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    if weight >= 1 << 60:
+        weight = df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    return max(partitions(df.sparkSession), -(-weight // bucket))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a session on one machine, as in tests, gets a folder of its own; on a cluster it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext
+    if not found and not context.master.startswith("local"):
+        found = context.getCheckpointDir()
+        if not found:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = getattr(context, "_velofield_dir", None)
         if not found:
@@ -101,6 +124,17 @@ def binaries(data: bytes | np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32).tobytes()), buffer])
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with fields that may all be null, as the types that Spark's functions declare."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    if pa.types.is_map(kind):
+        return pa.map_(nullable(kind.key_type), nullable(kind.item_type))
+    if pa.types.is_list(kind):
+        return pa.list_(nullable(kind.value_type))
+    return kind
+
+
 # --- hashing ----------------------------------------------------------------------------------------------------------
 
 _ODD = U64(0x9E3779B97F4A7C15)

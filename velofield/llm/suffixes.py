@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velofield.llm.shared import U64, Prefixes, bucket_label, cells, chunks, even_labels, pack, partitions, ranges, small, split_by, table, utf8
+from velofield.llm.shared import U64, Prefixes, bucket_label, buckets, cells, chunks, even_labels, pack, ranges, small, split_by, table, utf8
 
 #: Bytes of a repeated string, and of the grams whose smallest hash in such a string decides where it is compared.
 LENGTH, GRAM = 50, 20
@@ -441,10 +441,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     other's strings; rows with a null id are kept whole and remove nothing; an empty table gives an empty one; other
     columns are not looked at.
     """
-    n = partitions(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    n = buckets(source, "text")
     labels = even_labels(n)
     steps = Repeats(labels, length, gram, hot)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     source = source.select(bucket_label("doc_id", labels).alias("home"), "doc_id", "text")
     announced = source.where("doc_id is not null").mapInArrow(steps.announce, steps.ANNOUNCED)
     answers = announced.groupBy("k").applyInArrow(lambda t: steps.answer(t), steps.ANSWERED)
