@@ -445,14 +445,51 @@ def test_edited_counts_equal_full_encoding(text, edits):
         assert tree.text() == text and tree.total == len(reference_ids(text)) and tree.length == len(text)
 
 
-def test_edit_after_an_emptied_last_leaf():
+def edited(pieces, edits):
+    """(total, text) of a tree after edits, and the text by plain replacement."""
     count = lambda t: len(reference_ids(t))
-    tree = counts.CountTree(["foo bar ", "baz"], [count("foo bar "), count("baz")], count)
-    tree.edit(7, 11, "")
+    tree, text = counts.CountTree(list(pieces), [count(p) for p in pieces], count), "".join(pieces)
+    for at, end, new in edits:
+        tree.edit(at, end, new)
+        a = min(max(at, 0), len(text))
+        text = text[:a] + new + text[min(max(end, a), len(text)) :]
+    assert tree.text() == text and tree.length == len(text)
+    return tree.total, len(reference_ids(text))
+
+
+@pytest.mark.parametrize(
+    ("pieces", "edits"),
+    [
+        (["the ", "other"], [(3, 4, ""), (8, 8, "wise")]),
+        (["foo bar ", "baz"], [(7, 11, ""), (7, 7, "x")]),
+        (["un ", "believ ", "able"], [(2, 3, ""), (8, 9, ""), (2, 2, "do"), (0, 0, "a ")]),
+        (["a ", "b ", "c ", "d"], [(1, 6, ""), (1, 1, "x"), (2, 2, "y"), (0, 1, "")]),
+        (["one ", "two\x1cthree"], [(8, 8, "x"), (3, 4, "\x1c")]),
+        ([""], [(0, 5, "new"), (3, 3, "er")]),
+    ],
+)
+def test_edits_across_leaves(pieces, edits):
+    got, want = edited(pieces, edits)
+    assert got == want
+
+
+def test_many_random_edits():
+    r = np.random.default_rng(11)
+    letters = np.array(list("ab 'sÉ.\n1cde  "))
+    word = lambda n: "".join(r.choice(letters, int(r.integers(0, n))))
+    for _ in range(5000):
+        pieces = counts.cut(word(60), int(r.integers(2, 10)))
+        got, want = edited(pieces, [(int(a), int(a + b), word(6)) for a, b in zip(r.integers(-2, 60, 5), r.integers(0, 14, 5), strict=True)])
+        assert got == want
+
+
+def test_edits_encode_little():
+    count = lambda t: len(reference_ids(t))
+    pieces = counts.cut("some words of a text " * 400)
     seen = []
-    tree.count = lambda t: seen.append(t) or count(t)
-    assert tree.edit(7, 7, "x") == count("foo barx") and tree.text() == "foo barx"
-    assert seen == ["bar", "barx"]
+    tree = counts.CountTree(list(pieces), [count(p) for p in pieces], lambda t: seen.append(t) or count(t))
+    tree.edit(4003, 4005, "x")
+    assert len(pieces) > 10 and sum(map(len, seen)) < 60
 
 
 def test_counts_over_tables(docs, texts, odd):
@@ -461,6 +498,8 @@ def test_counts_over_tables(docs, texts, odd):
         got = counts.count_edited(edits(table), queries.tokenizer_path(), with_text=True).collect()
         assert sorted(((r["doc_id"], r["n_tokens_before"]) for r in got), key=str) == sorted(((k, len(reference_ids(t))) for k, t in rows), key=str)
         assert all(r["n_tokens"] == len(reference_ids(r["text"])) and r["n_edits"] == 4 for r in got)
+        later = counts.apply_edits(counts.trees(table, queries.tokenizer_path()).withColumn("edits", counts.sample_edits(F.col("text"))), queries.tokenizer_path(), with_text=True).collect()
+        assert sorted(later, key=str) == sorted(got, key=str)
     none = odd.select("doc_id", "text", F.lit(None).cast("array<struct<start:long,end:long,text:string>>").alias("edits"))
     assert counts.count_edited(none, queries.tokenizer_path()).where("n_tokens <> n_tokens_before or n_edits > 0").count() == 0
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,8 @@ from velofield.llm.tokens import Encoder
 
 #: Pre-tokens of a leaf, about; a leaf that edits make this many times longer is cut anew.
 LEAF, GROWN = 64, 8
-_GAP = re.compile(r"\s")
+#: White space for Python and tokenizers alike; words are what is between.
+_SPACES = " \t\n\r"
 
 
 def count_tokens(text: str, encoder: Encoder) -> int:
@@ -27,9 +27,9 @@ def count_tokens(text: str, encoder: Encoder) -> int:
 class CountTree:
     """A document's pre-tokens in leaves, with a binary tree of sums over the leaves' tokens and characters.
 
-    Leaves are cut before a word, so what precedes a leaf ends with white space. A pre-token never contains white space and
-    a token never spans pre-tokens; so the count of a text is the sum over its words, and an edit changes the count of the
-    words it touches only.
+    Leaves are cut before a word. A pre-token never contains white space and a token never spans pre-tokens; so the count of
+    a text is the sum over its words, and an edit changes the count of the words it touches only. Edits may leave empty
+    leaves, and words that go on in the next leaf; so the words touched are looked for over leaves, on both sides.
     """
 
     def __init__(self, leaves: list[str], tokens: list[int], count: Callable[[str], int]):
@@ -94,20 +94,24 @@ class CountTree:
         end = min(max(end, start), self.length)
         i, a = self.find(start)
         j, b = self.find(end)
-        if a == 0 and i > 0 and start == end and not (text and _GAP.match(text[-1])):
-            pass  # the previous leaf ends with white space, so nothing before is touched
         old = "".join(self.leaves[i : j + 1])
         b += sum(len(x) for x in self.leaves[i:j])
         left = a
-        while left > 0 and not old[left - 1].isspace():
-            left -= 1
+        while True:
+            while left > 0 and old[left - 1] not in _SPACES:
+                left -= 1
+            if left or not i or self.leaves[i - 1][-1:] in tuple(_SPACES):
+                break
+            i -= 1  # empty, or its last word goes on here
+            step = len(self.leaves[i])
+            old, a, b, left = self.leaves[i] + old, a + step, b + step, step
         right = b
         while True:
-            while right < len(old) and not old[right].isspace():
+            while right < len(old) and old[right] not in _SPACES:
                 right += 1
             if right < len(old) or j + 1 >= len(self.leaves):
                 break
-            j += 1  # the words go on in the next leaf if the white space between was edited away
+            j += 1  # the word goes on in the next leaf if the white space between was edited away
             old += self.leaves[j]
         before, after = old[left:right], old[left:a] + text + old[b:right]
         self.encoded += len(before) + len(after)
@@ -134,15 +138,39 @@ def cut(text: str, size: int = 8 * LEAF) -> list[str]:
     pieces, at = [], 0
     while len(text) - at > size:
         gap = at + size
-        while gap < len(text) and not (text[gap - 1].isspace() and not text[gap].isspace()):
+        while gap < len(text) and not (text[gap - 1] in _SPACES and text[gap] not in _SPACES):
             gap += 1
         pieces.append(text[at:gap])
         at = gap
     return [*pieces, text[at:]] if at < len(text) or not pieces else pieces
 
 
-def trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
-    """The trees of all documents: doc_id, text, ends (each leaf's last character + 1), tokens (each leaf's), and any edits.
+def _leaves(batch: pa.RecordBatch, encoder: Encoder) -> Iterator[tuple[list[int], list[int]]]:
+    """By text of the batch's second column: each leaf's last character + 1, and its tokens."""
+    raw, starts = utf8(batch.column(1))
+    ids, first, words = encoder.encode(raw, starts)
+    known = encoder.known.count[encoder.entries(words)]
+    upto = np.concatenate([[0], np.cumsum(known)])
+    gap = words.start > 0
+    gap[gap] = words.end[np.flatnonzero(gap) - 1] < words.start[gap]
+    for k in range(batch.num_rows):
+        a, b = words.per_doc[k], words.per_doc[k + 1]
+        size = int(words.doc[k + 1] - words.doc[k])
+        if words.hard[k]:
+            yield [size], [int(first[k + 1] - first[k])]
+            continue
+        heads = np.flatnonzero(gap[a + 1 : b]) + a + 1  # words after white space, but for the first
+        heads = heads[np.concatenate([[True], heads[1:] // LEAF != heads[:-1] // LEAF])] if len(heads) else heads
+        heads = heads[heads - a >= LEAF // 2]
+        edges = np.concatenate([[a], heads, [b]])
+        yield [*(words.start[heads] - words.doc[k]).tolist(), size], np.diff(upto[edges]).tolist()
+
+
+EDITS = "array<struct<start:long,end:long,text:string>>"
+
+
+def trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The trees of all documents, for edits to come: doc_id, text, ends (each leaf's last character + 1), tokens (each leaf's).
 
     Null and empty texts have one empty leaf.
     """
@@ -150,35 +178,44 @@ def trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for batch in chunks(batches, 1):
-            raw, starts = utf8(batch.column(1))
-            ids, first, words = encoder.encode(raw, starts)
-            known = encoder.known.count[encoder.entries(words)]
-            upto = np.concatenate([[0], np.cumsum(known)])
-            gap = words.start > 0
-            gap[gap] = words.end[np.flatnonzero(gap) - 1] < words.start[gap]
-            ends, tokens = [], []
-            for k in range(batch.num_rows):
-                a, b = words.per_doc[k], words.per_doc[k + 1]
-                size = int(words.doc[k + 1] - words.doc[k])
-                if words.hard[k]:
-                    ends.append([size])
-                    tokens.append([int(first[k + 1] - first[k])])
-                    continue
-                heads = np.flatnonzero(gap[a + 1 : b]) + a + 1  # words after white space, but for the first
-                heads = heads[np.concatenate([[True], heads[1:] // LEAF != heads[:-1] // LEAF])] if len(heads) else heads
-                heads = heads[heads - a >= LEAF // 2]
-                edges = np.concatenate([[a], heads, [b]])
-                ends.append([*(int(x) for x in words.start[heads] - words.doc[k]), size])
-                tokens.append([int(x) for x in np.diff(upto[edges])])
-            columns = [batch.column(0), batch.column(1), pa.array(ends, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=["doc_id", "text", "ends", "tokens", *(["edits"] if edits_col else [])])
-
-    chosen = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    schema = "doc_id long, text string, ends array<long>, tokens array<long>"
-    if edits_col:
-        chosen.append(F.col(edits_col).cast("array<struct<start:long,end:long,text:string>>").alias("edits"))
-        schema += ", edits array<struct<start:long,end:long,text:string>>"
-    return docs.select(*chosen).mapInArrow(build, schema)
+            found = list(_leaves(batch, encoder))
+            columns = [pa.array([x[c] for x in found], pa.list_(pa.int64())) for c in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text", "ends", "tokens"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(build, "doc_id long, text string, ends array<long>, tokens array<long>")
+
+
+def _counter(encoder: Encoder) -> Callable[[str], int]:
+    known: dict[str, int] = {}
+
+    def count(text: str) -> int:
+        if text not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[text] = count_tokens(text, encoder)
+        return known[text]
+
+    return count
+
+
+def _edited(doc: int | None, text: str | None, ends: list[int], tokens: list[int], edits: list | None, count: Callable[[str], int], with_text: bool) -> tuple:
+    text = text or ""
+    tree = CountTree([text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], tokens, count)
+    before, n = tree.total, 0
+    for e in edits or []:
+        if e is not None:
+            tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
+            n += 1
+    return (doc, before, tree.total, n, tree.encoded, *([tree.text()] if with_text else []))
+
+
+def _result(rows: list[tuple], with_text: bool) -> pa.RecordBatch:
+    names = ["doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_encoded_chars", *(["text"] if with_text else [])]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string() if x == "text" else pa.int64()) for c, x in enumerate(names)], names=names)
+
+
+_COUNTED = "doc_id long, n_tokens_before long, n_tokens long, n_edits long, n_encoded_chars long"
 
 
 def apply_edits(built: DataFrame, tokenizer: str, with_text: bool = False) -> DataFrame:
@@ -190,41 +227,29 @@ def apply_edits(built: DataFrame, tokenizer: str, with_text: bool = False) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
-        known: dict[str, int] = {}
-
-        def count(text: str) -> int:
-            if text not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[text] = count_tokens(text, encoder)
-            return known[text]
-
+        count = _counter(Encoder.of(tokenizer))
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text, ends, tokens, edits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text, starts = text or "", [0, *ends[:-1]]
-                tree = CountTree([text[a:b] for a, b in zip(starts, ends, strict=True)], tokens, count)
-                before, n = tree.total, 0
-                for e in edits or []:
-                    if e is not None:
-                        tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
-                        n += 1
-                rows.append((doc, before, tree.total, n, tree.encoded, *([tree.text()] if with_text else [])))
-            names = ["doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_encoded_chars", *(["text"] if with_text else [])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string() if x == "text" else pa.int64()) for c, x in enumerate(names)], names=names)
-
-    schema = "doc_id long, n_tokens_before long, n_tokens long, n_edits long, n_encoded_chars long" + ", text string" * with_text
-    return built.select("doc_id", "text", "ends", "tokens", "edits").mapInArrow(run, schema)
+            yield _result([_edited(*row, count, with_text) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)], with_text)
+
+    return built.select("doc_id", "text", "ends", "tokens", F.col("edits").cast(EDITS)).mapInArrow(run, _COUNTED + ", text string" * with_text)
 
 
 def count_edited(docs: DataFrame, tokenizer: str, edits_col: str = "edits", with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token counts of all documents before and after their edits (see ``trees`` and ``apply_edits``).
+    """Token counts of all documents before and after their edits, trees and edits in one pass (see ``apply_edits``).
 
     Null and empty texts have no tokens; texts of any length and repeated rows are counted each; a null id stays null; an
     empty table gives an empty one; other columns are not looked at.
     """
-    return apply_edits(trees(docs, tokenizer, id_col, text_col, edits_col), tokenizer, with_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(tokenizer)
+        count = _counter(encoder)
+        for batch in chunks(batches, 1):
+            rows = zip(*(c.to_pylist() for c in batch.columns), _leaves(batch, encoder), strict=True)
+            yield _result([_edited(doc, text, *leaves, edits, count, with_text) for doc, text, edits, leaves in rows], with_text)
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
+    return source.mapInArrow(run, _COUNTED + ", text string" * with_text)
 
 
 def sample_edits(text: F.Column) -> F.Column:
