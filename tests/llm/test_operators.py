@@ -427,6 +427,15 @@ def test_leaks_on_odd_rows(spark, odd):
     assert sorted(r["doc_id"] or 0 for r in decontamination.drop_leaks(odd, items).collect()) == [0, 1, 2, 6, 7, 8, 9]
 
 
+def test_leaks_in_parts(spark, sf, docs, odd):
+    """A benchmark larger than a part gives what one automaton gives."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").union(spark.createDataFrame([(7, "Shared words, of a PASSAGE"), (8, None), (None, "one")], "item_id long, text string"))
+    for table in (docs, odd):
+        found = [sorted(map(str, decontamination.find_leaks(table, items, with_clean=True, part_bytes=n).collect())) for n in (1 << 30, 3000)]
+        kept = [sorted(map(str, decontamination.drop_leaks(table, items, part_bytes=n).collect())) for n in (1 << 30, 3000)]
+        assert found[0] == found[1] and kept[0] == kept[1] and len(kept[0]) < len(found[0])
+
+
 # --- 6 counts ---------------------------------------------------------------------------------------------------------
 
 
