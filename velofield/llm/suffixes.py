@@ -19,7 +19,7 @@ HOT_DOCUMENTS = 2_000
 #: Windows of a stretch, at most; longer ones (of blanks, say) are cut, so a size or a place in one fits a small type.
 STRETCH = 1 << 15
 #: Bytes that one suffix array is built of, about.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _BYTES = table(256, 23)
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 _LOW48 = U64((1 << 48) - 1)
@@ -143,13 +143,14 @@ class Stretches:
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, length: int, gram: int):
         n = len(raw)
-        self.prefixes = Prefixes(_BYTES[raw])
+        self.gram, self.grams = gram, None
         empty = np.zeros(0, np.int64)
         self.first, self.last, self.doc, self.key = empty, empty, empty, np.zeros(0, U64)
         if n < length:
             return
         at = np.arange(n - gram + 1)
-        least = self.prefixes.of(at, at + gram)
+        least = Prefixes(_BYTES[raw]).of(at, at + gram)
+        self.grams = Prefixes(least)
         width = length - gram + 1
         step = 1
         while 2 * step <= width:
@@ -184,9 +185,12 @@ class Stretches:
         size = self.last[which] - self.first[which] + length
         return raw[ranges(self.first[which], size)], size
 
-    def contents(self, which: np.ndarray, length: int) -> np.ndarray:
-        """A hash of the bytes of each chosen stretch."""
-        return self.prefixes.of(self.first[which], self.last[which] + length)
+    def contents(self, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+        """A hash of the bytes of each stretch from window ``first`` to ``last``.
+
+        It rolls over the hashes of grams, not over bytes: texts made to collide under one polynomial don't under this.
+        """
+        return self.grams.of(first, last + length - self.gram + 1) if self.grams else np.zeros(0, U64)
 
 
 def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +285,7 @@ class Repeats:
             single = ranges(found.first[is_hot], size)  # each window on its own
             first, last, doc = np.concatenate([first, single]), np.concatenate([last, single]), np.concatenate([doc, np.repeat(found.doc[is_hot], size)])
             key, flag = np.concatenate([key, np.repeat(found.key[is_hot], size)]), np.arange(len(first)) >= len(first) - len(single)
-            yield raw, starts, ids, linked, first, last, doc, found.prefixes.of(first, last + self.length), key, flag
+            yield raw, starts, ids, linked, first, last, doc, found.contents(first, last, self.length), key, flag
 
     def send(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
         """The distinct stretches of a bucket of documents, each with the smallest and largest document that has it."""
@@ -332,8 +336,10 @@ class Repeats:
         high = low + opened("more", "<i8")
         data = opened("bytes", np.uint8)
         begin = np.cumsum(size) - size
-        order = np.argsort(content, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
+        order = np.lexsort((size, content))
+        new = np.concatenate([[True], (content[order][1:] != content[order][:-1]) | (size[order][1:] != size[order][:-1])])
+        new |= ~self._same(data, begin[order], size[order], new)
+        at = np.flatnonzero(new)
         group = np.empty(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
         least, one = np.minimum.reduceat(low[order], at), order[at]
@@ -357,6 +363,16 @@ class Repeats:
         rows = [(h, *pack(x[0]), *(squeeze(y) for y in pack(*x[1:])), hot[h]) for h, x in answers.items()]
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.binary() if c else pa.int32()) for c in range(6)], names=["home", "content", "start", "count", "smallest", "hot"])
 
+    @staticmethod
+    def _same(data: np.ndarray, begin: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Which stretches have the bytes of the one before them, as all but ``new`` ones should."""
+        same, later = new.copy(), np.flatnonzero(~new)
+        for piece in range(0, len(later), 1 << 12):
+            x = later[piece : piece + (1 << 12)]
+            alike = data[ranges(begin[x], size[x])] == data[ranges(begin[x - 1], size[x])]
+            same[x] = np.logical_and.reduceat(alike, np.cumsum(size[x]) - size[x])
+        return same
+
     COMPARED = "home int, content binary, start binary, count binary, smallest binary, hot binary"
 
     def _runs(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, least: np.ndarray, name: np.ndarray) -> tuple:
