@@ -549,6 +549,38 @@ def test_embeddings_near_the_threshold(spark):
     assert vectors.near_duplicates(t.limit(0)).count() == 0
 
 
+def test_tiles_leave_few_pairs_open():
+    """A group whose pairs are all near the threshold: finer codes decide nearly all of them, and rightly."""
+    r = np.random.default_rng(4)
+    centre, noise = np.eye(48)[0], r.standard_normal((400, 48))
+    noise -= np.outer(noise @ centre, centre)
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    angle = np.arccos(np.sqrt(0.95))
+    x = np.cos(angle) * centre + np.sin(angle) * noise
+    i, j, oi, oj = vectors.tile_links(vectors.encode(x), vectors.encode(x), 0.95, True)
+    cosine = x @ x.T
+    near_ = (np.abs(cosine - 0.95) < 0.02).sum()
+    linked = np.zeros((400, 400), bool)
+    linked[i, j] = True
+    settled = ~np.eye(400, dtype=bool)
+    settled[oi, oj] = False
+    assert (linked[settled] == (cosine >= 0.95)[settled]).all() and len(oi) < 0.01 * near_ and near_ > 50_000
+
+
+def test_embeddings_in_many_blocks(spark, monkeypatch):
+    """Groups of blocks that are far apart are skipped; nothing is lost."""
+    monkeypatch.setattr(vectors, "SUPER", 2)
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((12, 6))
+    x = centres[r.integers(0, 12, 500)] + 0.12 * r.standard_normal((500, 6))
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=16).orderBy("vec_id").collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.argwhere(np.triu(unit @ unit.T >= 0.95, 1))
+    assert [q["n_links"] for q in got] == np.bincount(links.ravel(), minlength=500).tolist()
+    assert [q["component_id"] for q in got] == joined(links, np.arange(500))
+
+
 def test_quantisation_bounds_hold():
     r = np.random.default_rng(2)
     x = r.standard_normal((300, 24))

@@ -12,23 +12,34 @@ from pyspark.sql import functions as F
 
 from velofield.llm.shared import checkpointed, connected_components, partitions, ranked
 
-#: Vectors of a tile's side, and vectors that the order of vectors is laid out by.
-TILE, PIVOTS = 2048, 64
-_SLACK = 1e-6
+#: Vectors of a tile's side, and blocks whose distance is looked at together before that of each two.
+TILE, SUPER = 2048, 32
+#: Vectors that the order of vectors is laid out by: one for so many blocks, between these bounds.
+PIVOT_BLOCKS, PIVOTS = 4, (64, 1024)
+_SLACK, _FINE_SLACK = 1e-6, 1e-10
 
 
-def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(int8 codes, scale, norm of what the codes miss) of unit vectors: each is scale * codes + rest, |rest| = miss."""
-    scale = np.abs(unit).max(axis=1) / 127.0
-    codes = np.rint(unit / scale[:, None]).astype(np.int8)
-    return codes, scale, np.linalg.norm(unit - codes * scale[:, None], axis=1) + 1e-12
+def quantise(x: np.ndarray, kind: type = np.int8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, scale, norm of what the codes miss) of vectors: each is scale * codes + rest, |rest| = miss."""
+    most = np.iinfo(kind).max
+    scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / most
+    codes = np.rint(x / scale[:, None]).astype(kind)
+    return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1) + 1e-12
+
+
+def encode(unit: np.ndarray) -> dict[str, np.ndarray]:
+    """Int8 codes q, scales s and errors e of unit vectors, and finer q2, s2, e2 of what these codes miss."""
+    q, s, e = quantise(unit)
+    q2, s2, e2 = quantise(unit - q * s[:, None], np.int16)
+    return {"q": q, "s": s, "e": e, "q2": q2, "s2": s2, "e2": e2}
 
 
 def tile_links(a: dict, b: dict, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and column of the pairs surely linked, and of those that full precision must decide.
 
     With x = s q + e for both vectors, |x.y - s s' q.q'| <= |e| (1 + |e'|) + |e'| (1 + |e|) + |e| |e'|: the products of
-    codes are whole numbers, exact in the type used, so the bound holds for every pair.
+    codes are whole numbers, exact in the type used, so the bound holds for every pair. Pairs whose bounds contain the
+    threshold get a second bound from the codes of both steps, which is thousands of times closer.
     """
     kind = np.float32 if a["q"].shape[1] * 127 * 127 < 1 << 24 else np.float64
     dot = a["q"].astype(kind) @ b["q"].astype(kind).T
@@ -44,7 +55,19 @@ def tile_links(a: dict, b: dict, threshold: float, same: bool) -> tuple[np.ndarr
     ea, eb = a["e"][i], b["e"][j]
     bound = ea * (1 + eb) + eb * (1 + ea) + ea * eb + _SLACK
     sure, open_ = value - bound >= threshold, (value + bound >= threshold) & (value - bound < threshold)
-    return i[sure], j[sure], i[open_], j[open_]
+    i_sure, j_sure, i, j = [i[sure]], [j[sure]], i[open_], j[open_]
+    i_open, j_open = [i[:0]], [j[:0]]
+    for at in range(0, len(i), 1 << 15):
+        x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+        full = [t["q"][k] * t["s"][k][:, None] + t["q2"][k] * t["s2"][k][:, None] for t, k in ((a, x), (b, y))]
+        value, ea, eb = np.einsum("ij,ij->i", *full), a["e2"][x], b["e2"][y]
+        bound = ea * (1 + eb) + eb * (1 + ea) + ea * eb + _FINE_SLACK
+        sure, open_ = value - bound >= threshold, (value + bound >= threshold) & (value - bound < threshold)
+        i_sure.append(x[sure])
+        j_sure.append(y[sure])
+        i_open.append(x[open_])
+        j_open.append(y[open_])
+    return tuple(np.concatenate(v) for v in (i_sure, j_sure, i_open, j_open))
 
 
 def _forest(i: np.ndarray, j: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +89,10 @@ def _forest(i: np.ndarray, j: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray)
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Vectors whose cosine with another is at least ``threshold``: vec_id, n_links, component_id, kept.
 
-    Equal vectors form one class. Classes are laid out by their nearest of a few pivots and cut into blocks; each pair of
-    blocks is one tile, unless the blocks' centres are too far apart for any link. A tile multiplies int8 codes; quantisation
-    error bounds decide most pairs, and only pairs whose bounds contain the threshold are computed in double precision. A
+    Equal vectors form one class. Classes are laid out by their nearest of some pivots and cut into blocks; each pair of
+    blocks is one tile, unless the centres of the blocks, or of the groups of neighbouring blocks they are in, are too far
+    apart for any link. A tile multiplies int8 codes; quantisation error bounds decide most pairs, finer codes most of the
+    rest, and only pairs whose finer bounds contain the threshold are computed in double precision. A
     tile returns each vector's number of links and its spanning links, not all pairs; components come from these.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors link only with
@@ -81,51 +105,58 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
     usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(F.exists("v", bad), F.lit(True)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(usable)
     classes = checkpointed(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("v")))
-    pivots = [np.array(r["v"]) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(PIVOTS).collect()]
+    wanted = min(max(classes.count() // (PIVOT_BLOCKS * tile), PIVOTS[0]), PIVOTS[1])
+    pivots = [np.array(r["v"]) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()]
     if not pivots:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     by_dim = {d: np.array([p / np.abs(p).max() for p in pivots if len(p) == d]) for d in {len(p) for p in pivots}}
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, close = [], []
-            for v in batch.column(1).to_pylist():
-                v, p = np.array(v), by_dim.get(len(v))
-                if p is None:
-                    near.append(-1)
-                    close.append(0.0)
-                    continue
-                c = p @ (v / np.abs(v).max()) / np.linalg.norm(p, axis=1)
-                near.append(int(c.argmax()))
-                close.append(float(c.max()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(near, pa.int32()), pa.array(close, pa.float64())], names=["rep", "v", "copies", "dim", "near", "close"])
+            size = batch.column(3).to_numpy(zero_copy_only=False)
+            near, close = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            for dim, p in by_dim.items():
+                own = np.flatnonzero(size == dim)
+                if len(own):
+                    x = _matrix(batch.column(1).take(pa.array(own)), dim)
+                    c = (x / np.abs(x).max(axis=1, keepdims=True)) @ (p / np.linalg.norm(p, axis=1, keepdims=True)).T
+                    near[own], close[own] = c.argmax(axis=1), c.max(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(near), pa.array(close)], names=["rep", "v", "copies", "dim", "near", "close"])
 
     laid = classes.select("rep", "v", "copies", "dim").mapInArrow(lay, "rep long, v array<double>, copies long, dim int, near int, close double")
     blocks = ranked(laid, "dim", "near", "close", "rep").select("rep", "v", "copies", "dim", F.floor(F.col("rank") / tile).cast("long").alias("block"))
 
     def code(table: pa.Table) -> pa.Table:
-        x = np.array(table.column("v").to_pylist())
+        x = _matrix(table.column("v").combine_chunks(), table.column("dim")[0].as_py())
         x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        q, s, e = quantise(x)
-        mean = x.mean(axis=0)
-        mean /= np.linalg.norm(mean) or 1.0
-        radius = float(np.arccos(np.clip((x @ mean).min(), -1, 1)))
-        cells = {"block": table.column("block")[0].as_py(), "dim": x.shape[1], "centre": mean.tolist(), "radius": radius}
-        cells |= {"rep": table.column("rep").to_numpy().astype("<i8").tobytes(), "copies": table.column("copies").to_numpy().astype("<i8").tobytes(), "q": q.tobytes(), "s": s.tobytes(), "e": e.tobytes()}
+        mean, radius = _ball(x, np.zeros(len(x)))
+        cells = {"block": table.column("block")[0].as_py(), "dim": x.shape[1], "centre": mean, "radius": radius}
+        cells |= {n: np.ascontiguousarray(table.column(n).to_numpy().astype("<i8")).tobytes() for n in ("rep", "copies")} | {n: v.tobytes() for n, v in encode(x).items()}
         return pa.Table.from_pylist([cells], schema=packed)
 
-    packed = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())] + [(n, pa.binary()) for n in ("rep", "copies", "q", "s", "e")])
-    coded = checkpointed(blocks.groupBy("block", "dim").applyInArrow(lambda t: code(t), "block long, dim int, centre array<double>, radius double, rep binary, copies binary, q binary, s binary, e binary"))
-    outline = coded.select("block", "dim", "centre", "radius")
-    other = outline.select(F.col("block").alias("_block"), "dim", F.col("centre").alias("_centre"), F.col("radius").alias("_radius"))
-    count = outline.agg(F.max("block").alias("n")).first()["n"] + 1
-    # Each block meets itself and the half of the others that follows it on a ring, so all have as many tiles.
-    ring = outline.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(count // 2)))).withColumn("_block", (F.col("block") + F.col("_k")) % count)
-    ring = ring.where(F.lit(count % 2 == 1) | (F.col("_k") < F.lit(count // 2)) | (F.col("_k") == 0) | (F.col("block") < F.col("_block")))
+    data = ["rep", "copies", "q", "s", "e", "q2", "s2", "e2"]
+    packed = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())] + [(n, pa.binary()) for n in data])
+    coded = checkpointed(blocks.groupBy("block", "dim").applyInArrow(lambda t: code(t), "block long, dim int, centre array<double>, radius double, " + ", ".join(f"{n} binary" for n in data)))
+    outline = coded.select(F.floor(F.col("block") / SUPER).cast("long").alias("super"), "block", "dim", "centre", "radius")
+
+    def surround(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        mean, radius = _ball(_matrix(table.column("centre").combine_chunks(), dim), table.column("radius").to_numpy())
+        return pa.table({"super": table.column("super")[:1], "dim": table.column("dim")[:1], "centre": pa.array([mean], pa.list_(pa.float64())), "radius": [radius]})
+
+    supers = checkpointed(outline.groupBy("super", "dim").applyInArrow(lambda t: surround(t), "super long, dim int, centre array<double>, radius double"))
+    other = lambda df, at: df.select(F.col(at).alias(f"_{at}"), "dim", F.col("centre").alias("_centre"), F.col("radius").alias("_radius"))
     apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.aggregate(F.zip_with("centre", "_centre", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y))))
-    tiles = ring.join(other, ["_block", "dim"]).where(apart - F.col("radius") - F.col("_radius") <= math.acos(threshold) + 1e-6).select("block", "_block", "dim")
-    data = ["rep", "copies", "q", "s", "e"]
+    meet = apart - F.col("radius") - F.col("_radius") <= math.acos(threshold) + 1e-6
+    count = supers.agg(F.max("super").alias("n")).first()["n"] + 1
+    # Each group meets itself and the half of the others that follows it on a ring, so all have as many partners.
+    ring = supers.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(count // 2)))).withColumn("_super", (F.col("super") + F.col("_k")) % count)
+    ring = ring.where(F.lit(count % 2 == 1) | (F.col("_k") < F.lit(count // 2)) | (F.col("_k") == 0) | (F.col("super") < F.col("_super")))
+    groups = ring.join(other(supers, "super"), ["_super", "dim"]).where(meet).select("super", "_super", "dim")
+    second = other(outline.drop("super"), "block").withColumn("_super", F.floor(F.col("_block") / SUPER).cast("long"))
+    tiles = groups.join(outline, ["super", "dim"]).join(second, ["_super", "dim"]).where((F.col("super") != F.col("_super")) | (F.col("block") <= F.col("_block")))
+    tiles = tiles.where(meet).select("block", "_block", "dim")
     left = coded.select("block", "dim", F.struct(*data).alias("a"))
     right = coded.select(F.col("block").alias("_block"), "dim", F.struct(*data).alias("b"))
     met = tiles.join(left, ["block", "dim"]).join(right, ["_block", "dim"]).select("block", "_block", "dim", "a", "b")
@@ -170,4 +201,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
 
 def _unpack(cells: dict, dim: int) -> dict[str, np.ndarray]:
     """The arrays of a packed block."""
-    return {"rep": np.frombuffer(cells["rep"], "<i8"), "copies": np.frombuffer(cells["copies"], "<i8"), "q": np.frombuffer(cells["q"], np.int8).reshape(-1, dim), "s": np.frombuffer(cells["s"]), "e": np.frombuffer(cells["e"])}
+    kinds = {"rep": "<i8", "copies": "<i8", "q": np.int8, "q2": "<i2"}
+    found = {n: np.frombuffer(x, kinds.get(n, "<f8")) for n, x in cells.items()}
+    return found | {n: found[n].reshape(-1, dim) for n in ("q", "q2")}
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+
+
+def _ball(x: np.ndarray, radius: np.ndarray) -> tuple[list[float], float]:
+    """A unit vector near all of the unit vectors, and the largest angle to what lies ``radius`` around one of them."""
+    mean = x.mean(axis=0)
+    mean /= np.linalg.norm(mean) or 1.0
+    return mean.tolist(), float((np.arccos(np.clip(x @ mean, -1, 1)) + radius).max())
