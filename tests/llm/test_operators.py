@@ -606,6 +606,95 @@ def test_exception_phrases_and_length():
     assert lexicon.score(machine, toxicity.fold("clown"))[0] > lexicon.score(machine, toxicity.fold("clown " + "fine " * 500))[0] > lexicon.score(machine, toxicity.fold("fine"))[0]
 
 
+def plain_hits(lexicon, line):
+    """The heaviest entry at each place, found entry by entry."""
+    find = lambda p: {k for k in range(len(line)) if line.startswith(p, k)}
+    covered = {k for p in lexicon.exceptions for a in find(p) for k in range(a, a + len(p) - 1)}  # its last space is the next word's
+    found = {}
+    for p, w in lexicon.weights.items():
+        for k in find(p) - covered:
+            found[k] = max(w, found.get(k, 0.0))
+    return found
+
+
+@given(st.lists(st.sampled_from(["clown", "fish", "Ѕcum", "1diot", "idiocy", "a", "m0r0n", "moronic!", "2024", ""]), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_hits_equal_a_plain_search(words):
+    lexicon = toxicity.Lexicon({" clown ": 5.0, " idio": 4.0, " idiot ": 6.0, " moron": 3.0, " scum ": 2.0}, (" clown fish ", " a idiot "))
+    line = toxicity.fold(" ".join(words))
+    assert lexicon.hits(lexicon.automaton(), line) == plain_hits(lexicon, line)
+
+
+def rows_with_labels(spark, sf, label):
+    rows = labels.training_rows(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), label)
+    return rows, [(r["text"], r["y"], r["part"]) for r in rows.collect()]
+
+
+def test_lexicon_equals_a_plain_count(spark):
+    rows, known = rows_with_labels(spark, "/root/testdata/sf0.01", "toxic")
+    lexicon = toxicity.learn(rows)
+    own = [(toxicity.fold(t), y) for t, y, _ in known]
+    counts_, total = {0: defaultdict(int), 1: defaultdict(int)}, {y: sum(1 for _, z in own if z == y) for y in (0, 1)}
+    for line, y in own:
+        for p in toxicity.patterns_of(set(line.split())):
+            counts_[y][p] += 1
+    weight = {p: np.log((n + 0.5) / (total[1] + 1)) - np.log((counts_[0][p] + 0.5) / (total[0] + 1)) for p, n in counts_[1].items() if n >= toxicity.LEAST_ROWS}
+    kept = {}
+    for p in sorted((p for p, w in weight.items() if w >= toxicity.LEAST_WEIGHT), key=lambda p: (len(p), p)):
+        if not any(kept.get(f" {p.strip()[:k]}", -9.0) >= weight[p] - 1 for k in toxicity.STEMS if k <= len(p.strip())):
+            kept[p] = weight[p]
+    assert lexicon.weights.keys() == kept.keys() and len(kept) > 5
+    assert all(abs(lexicon.weights[p] - w) < 1e-9 for p, w in kept.items())
+    near_ = {0: defaultdict(int), 1: defaultdict(int)}
+    for line, y in own:
+        for p in toxicity.phrases_of(line, plain_hits(toxicity.Lexicon(kept), line)):
+            near_[y][p] += 1
+    assert set(lexicon.exceptions) == {p for p, n in near_[0].items() if n >= toxicity.LEAST_CLEAN and not near_[1][p]}
+
+
+def test_model_equals_a_plain_fit(spark):
+    """Ratios and scores from plain counts; the weights meet the conditions of the hinge loss's dual."""
+    rows, known = rows_with_labels(spark, "/root/testdata/sf0.01", "quality")
+    model = quality.learn(rows)
+    own = [(quality.grams_of(t), y) for t, y, part in known if part]
+    found = {0: defaultdict(int), 1: defaultdict(int)}
+    for grams, y in own:
+        for g in grams:
+            found[y][g] += 1
+    least = max(quality.LEAST_ROWS, len(own) * quality.LEAST_SHARE)
+    grams = {g for y in (0, 1) for g in found[y] if found[0][g] + found[1][g] >= least}
+    total = {y: sum(found[y][g] + 1 for g in grams) for y in (0, 1)}
+    ratio = {g: np.log((found[1][g] + 1) / total[1]) - np.log((found[0][g] + 1) / total[0]) for g in grams}
+    assert model.weights.keys() == grams and all(abs(model.weights[g][1] - r**2) < 1e-9 for g, r in ratio.items())
+    for text, _, _ in known[:200]:
+        have = quality.grams_of(text) & grams
+        norm = np.sqrt(sum(ratio[g] ** 2 for g in have)) or 1.0
+        margin = sum(model.weights[g][0] for g in have) / norm + model.bias
+        assert abs(model.score(text) - 1 / (1 + np.exp(-np.clip(model.curve[0] * margin + model.curve[1], -30, 30)))) < 1e-9
+
+
+def test_dual_descent_is_optimal():
+    """The primal loss of the weights equals the dual's value: no weights are better."""
+    r = np.random.default_rng(1)
+    rows = [np.unique(r.integers(0, 12, 6)) for _ in range(120)]
+    values = [r.standard_normal(len(x)) for x in rows]
+    y = np.where(r.random(120) < 0.5, 1.0, -1.0)
+    w = quality.descend(rows, values, y, 12, rounds=3000, tolerance=1e-9)
+    x = np.zeros((120, 13))
+    x[:, 12] = 1
+    for k, (at, v) in enumerate(zip(rows, values, strict=True)):
+        x[k, at] = v
+    loss = lambda w: w @ w / 2 + np.maximum(0, 1 - y * (x @ w)).sum()
+    assert all(loss(w) <= loss(w + 10.0 ** -float(r.integers(1, 5)) * r.standard_normal(13)) + 1e-6 for _ in range(2000))
+
+
+def test_training_rows_are_bounded(spark, sf):
+    docs, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    every = labels.training_rows(docs, marks, "toxic")
+    n, weight = every.count(), every.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 0.4 * n < labels.training_rows(docs, marks, "toxic", most_bytes=weight // 2).count() < 0.6 * n
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     for name, label in (("op8_toxicity", "toxic"), ("op10_quality", "quality")):

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from velofield.llm.labels import TRAINING_ROWS, held_out, training_rows
 
 THRESHOLD = 0.5
-#: n-grams of the model at most, and rows an n-gram must be in.
-MOST_GRAMS, LEAST_ROWS = 60_000, 4
+#: Rows that an n-gram of the model must be in: so many, and this share of them; so the model has a thousand times the n-grams
+#: of a mean row at most.
+LEAST_ROWS, LEAST_SHARE = 4, 0.001
 
 
 class _Shapes(dict):
@@ -93,7 +94,7 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, n:
 
 
 def learn(rows: DataFrame) -> Model:
-    """Fit on labelled rows (doc_id, text, y): a fifth of them, by a hash of the id, sets the logistic curve."""
+    """Fit on labelled rows (doc_id, text, y, part): those of part 0, a fifth, set the logistic curve."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (Counter(), Counter())
@@ -112,14 +113,15 @@ def learn(rows: DataFrame) -> Model:
                     yield out()
         yield out()
 
-    fit = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
-    sums = fit.where("part > 0").select("text", "y").mapInArrow(count, "g string, good long, bad long").groupBy("g").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    sums = sums.where(F.col("good") + F.col("bad") >= LEAST_ROWS).orderBy(F.desc(F.col("good") + F.col("bad")), "g").limit(MOST_GRAMS).collect()
-    if not sums:
+    fit = rows.where("part > 0")
+    least = max(LEAST_ROWS, math.ceil(LEAST_SHARE * fit.count()))
+    sums = fit.select("text", "y").mapInArrow(count, "g string, good long, bad long").groupBy("g").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    sums = sums.where(F.col("good") + F.col("bad") >= least).toPandas().sort_values("g")
+    if not len(sums):
         return Model({})
-    good, bad = np.array([r["good"] for r in sums], float) + 1, np.array([r["bad"] for r in sums], float) + 1
+    good, bad = sums["good"].to_numpy(float) + 1, sums["bad"].to_numpy(float) + 1
     ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
-    place = {r["g"]: k for k, r in enumerate(sums)}
+    place = {g: k for k, g in enumerate(sums["g"])}
     shared = rows.sparkSession.sparkContext.broadcast(place)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +129,7 @@ def learn(rows: DataFrame) -> Model:
             at = [sorted(k for k in map(shared.value.get, grams_of(x)) if k is not None) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([np.array(x, "<i4").tobytes() for x in at], pa.binary()), batch.column(1), batch.column(2)], names=["at", "y", "part"])
 
-    coded = fit.select("text", "y", F.col("part").cast("int").alias("part")).mapInArrow(encode, "at binary, y int, part int").toPandas()  # of bounded training rows
+    coded = rows.select("text", "y", F.col("part").cast("int").alias("part")).mapInArrow(encode, "at binary, y int, part int").toPandas()  # of bounded training rows
     where = [np.frombuffer(x, "<i4") for x in coded["at"]]
     values = [ratio[x] / (float(np.sqrt(ratio[x] @ ratio[x])) or 1.0) for x in where]
     y, fits = np.where(coded["y"] > 0, 1.0, -1.0), coded["part"].to_numpy() > 0
@@ -158,7 +160,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, i
     Null and empty texts have one n-gram of their own and so a score; repeated rows are scored each; a null id stays null;
     an empty table gives an empty one; other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_GRAMS n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # see LEAST_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
