@@ -734,6 +734,39 @@ def test_urls_equal_sql(spark, sf, duck):
     assert_same(queries.op9_urls(spark, sf), duck, queries.OP9_SQL)
 
 
+LINKED = [
+    ("http://a.com/x/y?q=1", '<link rel="canonical" href="//bad.net/z">', "block"),  # no scheme
+    ("http://b.com/x/y", "<LINK HREF='../bad/./t.html' REL='nofollow Canonical'>", "block"),  # relative, up
+    ("http://b.com/bad/t.html", '<meta content="0; URL=http://c.net/?a=1&amp;b=2" http-equiv="Refresh">', "block"),
+    ("http://d.com/1?a=1&b=2", '<link rel=canonical href=page.html><link rel="canonical" href="http://bad.net/two">', "block"),  # the second one
+    ("http://d.com/page.html", None, "block"),
+    ("http://f.com/q?old", "<meta http-equiv='refresh' content='5;url=?new'>", "block"),  # only a query
+    ("http://f.com/q?new", '<link href="http://g.net/&#x2F;" rel="alternate canonical">', "block"),
+    ("http://h.com/1", '<link rel="not-canonical" href="http://bad.net/"><a rel="canonical" href="http://bad.net/">', "allow"),
+    ("http://i.com/1", '<link rel="canonical" href="mailto:x@bad.net"><link rel="canonical" href="#top"><link rel="canonical" href="">', "allow"),
+    ("http://j.com/1", '<meta name="refresh" content="0;url=http://bad.net/"><meta http-equiv="refresh" content="300">', "allow"),
+    ("http://k.com", '<link title="a > b" rel="canonical" href="sub/x">', "allow"),
+    ("http://k.com/sub/x", '<link rel="canonical" href="/../../de/..">', "allow"),
+    ("http://k.com/", '<link rel="canonical" href="HTTP://WWW.Example.ORG/fr/a"><link rel="canonical" href="http://bad.net/k">', "allow"),  # allow goes first
+    ("no scheme", '<link rel="canonical" href="http://bad.net/">', "allow"),
+    (None, '<link rel="canonical" href="http://bad.net/">', "allow"),
+    ("http://l.com/1", '<link rel="canonical" href="http://bad.net/1', "allow"),  # never closed
+]
+
+
+def test_links_of_all_forms(spark):
+    import duckdb
+
+    rows = [(k, url, html) for k, (url, html, _) in enumerate(LINKED)]
+    rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules)
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {k: x[2] for k, x in enumerate(LINKED)}
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    assert_same(got, con, queries.OP9_SQL)
+
+
 def test_redirects_pass_decisions_on(spark):
     link = '<html><link href="http://bad.net/x" rel="canonical"></html>'
     rows = [

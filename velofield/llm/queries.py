@@ -121,30 +121,64 @@ FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN cnt ON cnt.a = vec_id
 
 OP9_SQL = r"""
 WITH RECURSIVE rules(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-raw AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
-               coalesce(nullif(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''),
-                        regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1)) AS can,
-               regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*([^"''\s>]+)', 1) AS ref
-        FROM pages),
-u AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
-             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^#]*)', 1) AS tail, can, ref FROM raw),
-dst AS (SELECT host || tail AS a, CASE WHEN instr(t, '://') > 0 THEN substr(t, instr(t, '://') + 3) WHEN t LIKE '/%' THEN host || t END AS rest
-        FROM (SELECT host, tail, unnest([can, ref]) AS t FROM u WHERE host <> '')),
-e AS (SELECT a, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS b
-      FROM dst WHERE rest IS NOT NULL),
+split AS (
+  SELECT page_id, html, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+place AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_replace(rest, '^[^/?#]*', '') AS after FROM split),
+page AS (
+  SELECT page_id, html, host, regexp_replace(after, '[?#].*$', '', 's') AS path, regexp_replace(after, '#.*$', '', 's') AS tail FROM place),
+tag AS (
+  SELECT host, path, tail, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS t FROM page WHERE host <> ''),
+attr AS (  -- names and values of each tag's attributes
+  SELECT host, path, tail, lower(left(t, 5)) AS kind,
+         list_transform(regexp_extract_all(substr(t, 6), '(?is)\s([a-z-]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda x: lower(x)) AS names,
+         list_transform(regexp_extract_all(substr(t, 6), '(?is)\s([a-z-]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 2),
+                        lambda x: CASE WHEN left(x, 1) IN ('"', chr(39)) THEN x[2:-2] ELSE x END) AS vals
+  FROM tag),
+given AS (
+  SELECT host, path, tail, kind, vals[list_position(names, 'rel')] AS rel, vals[list_position(names, 'http-equiv')] AS equiv,
+         vals[list_position(names, 'href')] AS href, vals[list_position(names, 'content')] AS content FROM attr),
+chosen AS (
+  SELECT host, path, tail, kind, CASE WHEN kind = '<link' AND list_contains(regexp_split_to_array(lower(trim(rel)), '\s+'), 'canonical') THEN href
+                                WHEN kind = '<meta' AND lower(trim(equiv)) = 'refresh' THEN content END AS raw FROM given),
+plain AS (
+  SELECT host, path, tail, kind, trim(translate(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw,
+           '&#0*34;', '"', 'g'), '&#0*39;', chr(39), 'g'), '&#0*47;|&#[xX]0*2[fF];', '/', 'g'), '&#0*58;|&#[xX]0*3[aA];', ':', 'g'), '&#0*38;|&#[xX]0*26;', '&amp;', 'g'),
+           '&quot;', '"'), '&apos;', chr(39)), '&lt;', '<'), '&gt;', '>'), chr(9) || chr(10) || chr(13), '')) AS v FROM chosen WHERE raw IS NOT NULL),
+link AS (
+  SELECT host, path, tail, trim(CASE WHEN kind = '<link' THEN l ELSE regexp_extract(l, '(?is)(?:^|[;,\s])url\s*=\s*["'']?([^"'']+)', 1) END) AS l
+  FROM (SELECT *, replace(v, '&amp;', '&') AS l FROM plain)),
+aim AS (
+  SELECT host, tail, l, CASE WHEN l LIKE '/%' THEN regexp_extract(l, '^[^?#]*') ELSE coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || regexp_extract(l, '^[^?#]*') END AS p, path
+  FROM link WHERE l <> '' AND l NOT LIKE '#%'),
+flat AS (
+  SELECT host, tail, l, path, p, list_reduce(list_transform(string_split(p, '/'), lambda x: [x]),
+           lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' THEN (CASE WHEN len(a) > 1 THEN a[:len(a) - 1] ELSE a END) ELSE list_concat(a, x) END) AS kept FROM aim),
+dst AS (
+  SELECT host || tail AS a,
+         CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN substr(l, strpos(l, '://') + 3)
+              WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN NULL
+              WHEN l LIKE '//%' THEN substr(l, 3)
+              WHEN l LIKE '?%' THEN host || path || l
+              ELSE host || array_to_string(kept, '/') || CASE WHEN regexp_matches(p, '/\.{1,2}$') THEN '/' ELSE '' END || regexp_extract(l, '(?s)^[^?#]*(.*)', 1) END AS rest
+  FROM flat),
+e AS (
+  SELECT a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(regexp_replace(rest, '^[^/?#]*', ''), '#.*$', '', 's') AS b
+  FROM dst WHERE rest IS NOT NULL),
 g AS (SELECT a, b FROM e WHERE b <> '' UNION SELECT b, a FROM e WHERE b <> ''),
 reach AS (SELECT a, b FROM g UNION SELECT reach.a, g.b FROM reach JOIN g ON reach.b = g.a),
-places AS (SELECT DISTINCT host, path FROM u UNION SELECT DISTINCT regexp_extract(b, '^[^/?#]*', 0), regexp_extract(b, '^[^/?#]*([^?#]*)', 1) FROM g),
+nodes AS (SELECT DISTINCT b, regexp_extract(b, '^[^/?#]*') AS host, regexp_replace(regexp_replace(b, '^[^/?#]*', ''), '[?#].*$', '', 's') AS path FROM g),
+places AS (SELECT host, path FROM page UNION SELECT host, path FROM nodes),
 best AS (SELECT host, path, rh || rp AS rule, rv,
                 row_number() OVER (PARTITION BY host, path ORDER BY length(rh) + length(rp) DESC, length(rh) DESC, rv) AS k
          FROM places JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
 alias AS (SELECT reach.a, max(CAST(rv = 'allow' AS INT)) AS ok, max(CAST(rv = 'block' AS INT)) AS no
-          FROM reach LEFT JOIN best ON best.k = 1 AND best.host = regexp_extract(reach.b, '^[^/?#]*', 0) AND best.path = regexp_extract(reach.b, '^[^/?#]*([^?#]*)', 1)
+          FROM reach JOIN nodes USING (b) LEFT JOIN best ON best.k = 1 AND best.host = nodes.host AND best.path = nodes.path
           GROUP BY reach.a)
-SELECT u.page_id, u.host, u.path, best.rule,
+SELECT page.page_id, page.host, page.path, best.rule,
        coalesce(best.rv, CASE WHEN alias.ok = 1 THEN 'allow' WHEN alias.no = 1 THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN best ON best.k = 1 AND best.host = u.host AND best.path = u.path LEFT JOIN alias ON alias.a = u.host || u.tail
+FROM page LEFT JOIN best ON best.k = 1 AND best.host = page.host AND best.path = page.path LEFT JOIN alias ON alias.a = page.host || page.tail
 """
 
 

@@ -11,8 +11,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AFTER = "^[^/?#]*"
 #: Rules whose text is smaller than this go to every task; larger rule sets are joined by shuffle.
 RULE_BYTES = 8 << 20
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)"
+_TAG = r"(?is)<(?:link|meta)\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+_IS_CANONICAL = r"(?is)^<link\s.*\srel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])|^<link\srel\s*=\s*[\"']?canonical[\"'\s/>]"
+_IS_REFRESH = r"(?is)^<meta\s(?:.*\s)?http-equiv\s*=\s*[\"']?\s*refresh\s*[\"'\s/>]"
+_REFRESH_URL = r"(?is)(?:^|[;,\s])url\s*=\s*[\"']?([^\"']+)"
+# Characters of urls that pages may write as entities; the ampersand comes last.
+_ENTITIES = [("&quot;|&#0*34;", '"'), ("&apos;|&#0*39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#0*47;|&#[xX]0*2[fF];", "/"), ("&#0*58;|&#[xX]0*3[aA];", ":"), ("&amp;|&#0*38;|&#[xX]0*26;", "&")]
 
 
 def rest_of(url: F.Column) -> F.Column:
@@ -35,11 +39,45 @@ def node_of(url: F.Column) -> F.Column:
     return F.concat(host_of(url), F.regexp_extract(rest, _AFTER + "([^#]*)", 1))
 
 
+def _attribute(tag: F.Column, name: str) -> F.Column:
+    """The value of a tag's attribute, entities decoded, without white space around it; empty where there is none."""
+    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
+    for entity, plain in _ENTITIES:
+        value = F.regexp_replace(value, entity, plain)
+    return F.trim(F.regexp_replace(value, r"[\t\n\r]", ""))
+
+
+def without_dots(path: F.Column) -> F.Column:
+    """A path with its . and .. segments applied."""
+    parts = F.split(path, "/")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.slice(parts, 1, 1), step)
+    return F.when(path.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise(""))).otherwise(path)
+
+
+def resolved(link: F.Column, page: F.Column) -> F.Column:
+    """The url that a link in a page means; null for the page itself and for schemes without an authority (mailto:)."""
+    at, tail = F.concat(F.lit("x://"), host_of(page)), F.regexp_extract(link, r"^[^?#]*(.*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(page), "^(.*/)", 1), F.lit("")), F.lit("/"))
+    path = F.regexp_extract(link, r"^([^?#]*)", 1)
+    return (
+        F.when((link == "") | link.startswith("#"), None).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
+        .when(link.startswith("//"), F.concat(F.lit("x:"), link)).when(link.startswith("/"), F.concat(at, without_dots(path), tail))
+        .when(link.startswith("?"), F.concat(at, path_of(page), link)).otherwise(F.concat(at, without_dots(F.concat(folder, path)), tail))
+    )
+
+
 def links_in(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) urls from canonical links and refresh redirects of the pages; a path on the page's own host is resolved."""
-    found = pages.select(F.col(url).alias("src"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("dst"))
-    found = found.where(F.col("src").isNotNull() & (F.col("dst") != ""))
-    return found.select("src", F.when(F.col("dst").contains("://"), F.col("dst")).when(F.col("dst").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("src")), F.col("dst"))).alias("dst")).where("dst is not null")
+    """(src, dst) urls from all canonical links and refresh redirects of the pages, resolved against the page's url.
+
+    Entities are decoded; links without a scheme, without a host, relative ones and . and .. segments mean what browsers
+    take them for (a ``base`` element isn't looked at). A page without a host, and a link to the page itself, link nothing.
+    """
+    tags = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).cast("string").alias("src"), F.explode(F.regexp_extract_all(html, F.lit(_TAG), 0)).alias("tag"))
+    link = F.when(F.col("tag").rlike(_IS_CANONICAL), _attribute(F.col("tag"), "href")).when(F.col("tag").rlike(_IS_REFRESH), F.trim(F.regexp_extract(_attribute(F.col("tag"), "content"), _REFRESH_URL, 1)))
+    found = tags.select("src", link.alias("link")).where(F.col("link").isNotNull() & (host_of(F.col("src")) != ""))
+    return found.select("src", resolved(F.col("link"), F.col("src")).alias("dst")).where("dst is not null")
 
 
 def ruled(nodes: DataFrame, rules: DataFrame) -> DataFrame:
