@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velofield.llm.shared import U64, Prefixes, bucket_label, buckets, cells, chunks, even_labels, mix, nullable, pack, ranges, small, split_by, table, utf8
+from velofield.llm.shared import U64, Prefixes, bucket_label, buckets, cells, chunks, equal_bytes, even_labels, mix, nullable, pack, ranges, small, split_by, table, utf8
 
 #: Lines whose rolling hash decides on a boundary, and one in how many lines is one.
 WINDOW, SPACING = 2, 3
@@ -217,12 +217,7 @@ class Steps:
         sent = np.empty(len(key), np.int64)
         sent[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
         other = np.flatnonzero(hit & (size == size[sent]) & ((doc[place] != ids) | (number[place] != count)))
-        same = np.zeros(len(other), bool)
-        for piece in range(0, len(other), 1 << 12):
-            x = other[piece : piece + (1 << 12)]
-            alike = raw[ranges(begin[x], size[x])] == raw[ranges(begin[sent[x]], size[x])]
-            same[piece : piece + len(x)] = np.logical_and.reduceat(alike, np.cumsum(size[x]) - size[x]) if len(x) else False
-        other = other[same]
+        other = other[equal_bytes(raw, begin[other], begin[sent[other]], size[other])]
         return [which[other[at[other] == k]] for k in range(len(parts))]
 
     def remove(self, docs: pa.Table, found: pa.Table) -> pa.Table:

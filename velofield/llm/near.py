@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velofield.llm.shared import U64, Prefixes, binaries, checkpointed, chunks, connected_components, mix, partitions, ranges, table, utf8, written
+from velofield.llm.shared import U64, Prefixes, binaries, checkpointed, chunks, connected_components, mix, partitions, pieces, ranges, table, utf8, written
 
 #: A signature has BANDS x ROWS registers; a similar pair shares all registers of some band but for 2 in 100,000 at 0.8.
 BANDS, ROWS = 28, 5
@@ -176,7 +176,7 @@ class Tile:
             at = self.partners(i, few)
             mine = word[upto[i] : upto[i] + size[i]]
             mark[mine] = True
-            for piece in _pieces(size[at], 1 << 22):
+            for piece in pieces(size[at], 1 << 22):
                 part = at[piece]
                 part = part[self.label[part] != self.label[i]]
                 if not len(part):
@@ -190,15 +190,6 @@ class Tile:
         return found
 
 
-def _pieces(size: np.ndarray, most: int) -> Iterator[slice]:
-    """Slices of about ``most`` together."""
-    upto, at = np.cumsum(size), 0
-    while at < len(size):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
-        yield slice(at, to)
-        at = to
-
-
 def _tiles(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The rows of each tile: of neighbouring rows with one value in the first ``keys`` columns."""
     held: list[pa.RecordBatch] = []

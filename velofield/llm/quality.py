@@ -109,7 +109,7 @@ def learn(rows: DataFrame) -> Model:
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[y > 0].update(grams_of(text))
-                if len(found[0]) + len(found[1]) > 400_000:
+                if len(found[0]) + len(found[1]) > 200_000:
                     yield out()
         yield out()
 

@@ -200,6 +200,24 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
+def pieces(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of neighbours whose sizes are about ``most`` together; what is larger is alone."""
+    upto, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which stretches of ``size`` bytes, at ``a`` and at ``b``, have the same bytes; no size is 0."""
+    same = np.zeros(len(size), bool)
+    for part in pieces(size, 1 << 20):
+        n = size[part]
+        same[part] = np.logical_and.reduceat(data[ranges(a[part], n)] == data[ranges(b[part], n)], np.cumsum(n) - n)
+    return same
+
+
 # --- packed arrays between steps -------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velofield.llm.shared import U64, Prefixes, bucket_label, buckets, cells, chunks, even_labels, pack, ranges, small, split_by, table, utf8
+from velofield.llm.shared import U64, Prefixes, bucket_label, buckets, cells, chunks, equal_bytes, even_labels, pack, ranges, small, split_by, table, utf8
 
 #: Bytes of a repeated string, and of the grams whose smallest hash in such a string decides where it is compared.
 LENGTH, GRAM = 50, 20
@@ -338,7 +338,8 @@ class Repeats:
         begin = np.cumsum(size) - size
         order = np.lexsort((size, content))
         new = np.concatenate([[True], (content[order][1:] != content[order][:-1]) | (size[order][1:] != size[order][:-1])])
-        new |= ~self._same(data, begin[order], size[order], new)
+        later = np.flatnonzero(~new)
+        new[later] = ~equal_bytes(data, begin[order[later]], begin[order[later - 1]], size[order[later]])
         at = np.flatnonzero(new)
         group = np.empty(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
@@ -363,16 +364,6 @@ class Repeats:
         rows = [(h, *pack(x[0]), *(squeeze(y) for y in pack(*x[1:])), hot[h]) for h, x in answers.items()]
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.binary() if c else pa.int32()) for c in range(6)], names=["home", "content", "start", "count", "smallest", "hot"])
 
-    @staticmethod
-    def _same(data: np.ndarray, begin: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
-        """Which stretches have the bytes of the one before them, as all but ``new`` ones should."""
-        same, later = new.copy(), np.flatnonzero(~new)
-        for piece in range(0, len(later), 1 << 12):
-            x = later[piece : piece + (1 << 12)]
-            alike = data[ranges(begin[x], size[x])] == data[ranges(begin[x - 1], size[x])]
-            same[x] = np.logical_and.reduceat(alike, np.cumsum(size[x]) - size[x])
-        return same
-
     COMPARED = "home int, content binary, start binary, count binary, smallest binary, hot binary"
 
     def _runs(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, least: np.ndarray, name: np.ndarray) -> tuple:
