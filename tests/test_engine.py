@@ -172,3 +172,50 @@ def test_fix_takes_out_and_explains(spark):
 def test_pipeline_graph():
     p = pipelines.Pipeline("piv").add("read", lambda t: t).add("couples", lambda t: t)
     assert '"read" -> "couples"' in p.describe()
+
+
+def test_exact_median(spark):
+    from velofield.operators.statistics import exact_median
+
+    r = np.random.default_rng(0)
+    for v in (r.standard_normal(2001), np.round(r.standard_normal(1000), 1), np.full(7, 3.0), np.array([1e300, -1e300, 5.0, 5.0]), np.array([5e-324, 0.0])):
+        assert exact_median(spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double"), "v", 16) == np.median(v)
+    assert exact_median(spark.createDataFrame([], "v double"), "v") is None
+
+
+def test_direct_calibration_is_kept():
+    from velofield.operators import stereo
+
+    cam = stereo.DirectCalibration.fit(stereo.target_points(0.4), (160, 200), 6, 5)
+    again = stereo.DirectCalibration.from_json(cam.to_json())
+    x, y = np.array([20.0, 101.5, 300.0]), np.array([33.0, 80.0, 80.0])
+    place = again.on_plane(x, y, (0.0, 0.0, 1.0, -0.02))
+    assert np.allclose(place[:2, 0], ((x[:2] - stereo.MIDDLE[0]) / stereo.SCALE + 0.02 * np.sin(0.4)) / np.cos(0.4)) and np.allclose(place[:2, 2], 0.02)
+    assert np.isnan(place[2]).all()
+
+
+def test_process_arrays_and_parts_of_a_series(spark):
+    from velofield import params as P
+    from velofield.plans import pipelines
+    from velofield.sources import frames as S
+
+    pairs = S.synthetic_pairs(spark, 1, (2.0, 1.0), (48, 48))
+    row = pairs.first()
+    a, b = (np.array(row[c]).reshape(48, 48) for c in ("px0", "px1"))
+    params = P.Piv(piv0=P.FirstPass(shape_crop_im0=16))
+    found, want = (t.orderBy("ivec").collect() for t in (pipelines.process_arrays(spark, a, b, params), pipelines.piv(pairs, params)))
+    assert found == want and len(found) == 25 and found[0]["key"] == 0
+    with pytest.raises(ValueError, match="shape"):
+        pipelines.process_arrays(spark, a, b[:-1])
+
+
+def test_splines_smooth_alike_in_small_and_large_rectangles():
+    from velofield.functions.kernels import Subdomains
+
+    r = np.random.default_rng(2)
+    points = r.random((400, 2)) * [8, 5]
+    values = np.sin(points[:, 0]) * points[:, 1] + 0.05 * r.standard_normal(400)
+    small, large = Subdomains(points, 50), Subdomains(points, 400)
+    a, b = (d.fit(values, 0.5, 10.0) for d in (small, large))
+    assert small.summary()["n"] > large.summary()["n"] == 1 and small.summary()["least"] > 10
+    assert abs(small.spacing - large.spacing) < 1e-9 and np.abs(a - b).max() < 0.1

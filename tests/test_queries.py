@@ -12,7 +12,7 @@ from conftest import assert_same
 from velofield.plans.queries import QUERIES, SQL
 from velofield.streaming import frames as streaming
 
-SOME = ["frames_scan", "crop_mask", "vector_grid", "window_positions", "make_subsets", "bos_reference_join", "missing_results", "mean_image", "neighbor_mean", "sliding_median", "temporal_percentile", "rescale_tanh", "equalize_global", "correlate_circular", "peak_topk", "subpix_gaussian2", "fix_vectors", "piv_pass0", "field_curl", "dft_1d", "calib_tsai", "stereo_reconstruct", "mlos", "phase_chain", "failure_propagation", "worker_timeline"]
+SOME = ["frames_scan", "crop_mask", "vector_grid", "window_positions", "make_subsets", "bos_reference_join", "missing_results", "mean_image", "neighbor_mean", "sliding_median", "temporal_percentile", "rescale_tanh", "equalize_global", "correlate_circular", "peak_topk", "subpix_gaussian2", "fix_vectors", "piv_pass0", "field_curl", "dft_1d", "calib_tsai", "stereo_reconstruct", "mlos", "phase_chain", "failure_propagation", "worker_timeline", "surface_merge", "describe_values", "field_slice", "field_grid", "field_storage", "stereo_direct", "stream_couples"]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -30,6 +30,7 @@ def test_couples_meet_in_a_stream(spark, tmp_path):
     for k in (2, 0, 3, 1):
         spark.createDataFrame([(k, [float(k), 1.0])], "i long, pixels array<double>").coalesce(1).write.mode("append").parquet(path)
     made = streaming.finished(streaming.couples(streaming.read(spark, path)), str(tmp_path / "state"), "append")
+    assert (tmp_path / "state" / "checkpoint").exists()
     assert sorted((r["key"], r["product"]) for r in made.collect()) == [(0, 1.0), (1, 3.0), (2, 7.0)]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from velofield.operators.grids import nodes
@@ -195,8 +197,9 @@ def _circle(p: np.ndarray, a: int, b: int, c: int) -> tuple[float, float, float]
     return x, y, (ax - x) ** 2 + (ay - y) ** 2
 
 
-def griddata(points: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Linear interpolation over triangles; the nearest value outside them, or where points don't make any."""
+def griddata(points: np.ndarray, values: np.ndarray, wanted: np.ndarray, extend: bool = True) -> np.ndarray:
+    """Linear interpolation over triangles; outside them, or where points don't make any, the nearest value or, not to be
+    extended, NaN."""
     out = np.full(len(wanted), np.nan)
     if len(points) >= 3:
         for a, b, c in triangulate(points):
@@ -208,7 +211,7 @@ def griddata(points: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.n
             inside = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9) & np.isnan(out)
             out[inside] = values[a] + u[inside] * (values[b] - values[a]) + v[inside] * (values[c] - values[a])
     left = np.isnan(out)
-    if left.any():
+    if extend and left.any():
         out[left] = nearest(points, values, wanted[left])
     return out
 
@@ -258,13 +261,15 @@ def tps_weights_robust(centers: np.ndarray, values: np.ndarray, smoothing: float
 class Subdomains:
     """Overlapping rectangles of about ``size`` centres, each with a spline; results are blended by weights that fall to the sides."""
 
-    def __init__(self, centers: np.ndarray, size: int, share: float = 0.25):
+    def __init__(self, centers: np.ndarray, size: int, share: float = 0.2):
         self.centers = centers
         low, high = centers.min(axis=0), centers.max(axis=0)
         extent = np.maximum(high - low, 1e-9)
-        n = max(1.0, len(centers) / size)
-        self.counts = np.maximum(1, np.rint(np.sqrt(n * extent / extent[::-1]))).astype(int)
+        per_axis = np.sqrt(len(centers) / size * extent / extent[::-1])
+        self.counts = np.maximum(1, [math.floor(per_axis[0]), math.ceil(per_axis[1])])
         step = extent / self.counts
+        # smoothing by the distance of neighbours: the same whatever the size of rectangles
+        self.spacing = math.sqrt(step.prod() * self.counts.prod() / len(centers))
         self.boxes = []
         for a in range(self.counts[0]):
             for b in range(self.counts[1]):
@@ -291,7 +296,7 @@ class Subdomains:
                 half = (grow[1] - grow[0]) / 2
                 grow = (grow[0] - half, grow[1] + half)
                 own = self.inside(self.centers, grow)
-            smooth, weights, _ = tps_weights_robust(self.centers[own], values[own], smoothing, threshold)
+            smooth, weights, _ = tps_weights_robust(self.centers[own], values[own], smoothing * self.spacing, threshold)
             self.parts.append((box, self.centers[own], weights))
             here = ((self.centers[own] >= box[0]) & (self.centers[own] < box[1])).all(axis=1)
             w = self.weight(self.centers[own[here]], box)
@@ -299,6 +304,11 @@ class Subdomains:
             norm[own[here]] += w
         return np.where(norm > 0, total / np.where(norm > 0, norm, 1), values)
 
+    def summary(self) -> dict[str, int]:
+        """How many rectangles there are along both axes and in all, and the least and most centres of one."""
+        sizes = [len(self.inside(self.centers, box)) for box in self.boxes]
+        return {"n_x": int(self.counts[0]), "n_y": int(self.counts[1]), "n": len(sizes), "least": min(sizes), "most": max(sizes)}
+
     def at(self, points: np.ndarray) -> np.ndarray:
         """Values at other points; points outside all rectangles take the nearest rectangle's spline."""
         total, norm = np.zeros(len(points)), np.zeros(len(points))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -165,8 +165,43 @@ def append(*tables: DataFrame) -> DataFrame:
 
 def with_times(fields: DataFrame, timestep: float) -> DataFrame:
     """Add t: the place of the field in the order of ids, times the step."""
-    ids = fields.select("field_id").distinct().withColumn("t", (F.row_number().over(W.orderBy("field_id")) - 1) * timestep)  # an id per field
-    return fields.join(ids, "field_id")
+    return fields.join(numbered(fields).select("field_id", (F.col("n") * timestep).alias("t")), "field_id")
+
+
+def numbered(fields: DataFrame) -> DataFrame:
+    """(field_id, n): each field's place, from 0, in the order of ids; ranges of ids are sorted and counted where they are."""
+    ids = fields.select("field_id").distinct().orderBy("field_id")
+    return ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(ids.schema.add("n", "long"))  # an id per field
+
+
+def slice_series(fields: DataFrame, start: int, stop: int, step: int = 1) -> DataFrame:
+    """Every ``step``-th field of the places ``start`` to ``stop`` (left out) in the order of ids."""
+    chosen = numbered(fields).where((F.col("n") >= start) & (F.col("n") < stop) & ((F.col("n") - start) % step == 0))
+    return fields.join(chosen.select("field_id"), "field_id", "left_semi")
+
+
+def delete(fields: DataFrame, places: list[int]) -> DataFrame:
+    """The fields without those at some places in the order of ids."""
+    return fields.join(numbered(fields).where(F.col("n").isin(places)).select("field_id"), "field_id", "left_anti")
+
+
+def grid_of(fields: DataFrame, key: str = "field_id") -> DataFrame:
+    """A row per field: its positions along both axes, ascending."""
+    return fields.groupBy(key).agg(F.array_sort(F.collect_set("x")).alias("xs"), F.array_sort(F.collect_set("y")).alias("ys"))  # one field's axes
+
+
+def save(fields: DataFrame, path: str, about: dict[str, str], how: str = "new_dir") -> None:
+    """Write fields, or voxels, as Parquet, with what is known about them (names and texts) beside them."""
+    from velofield.sources.sinks import mode_of
+
+    fields.write.mode(mode_of(how)).parquet(f"{path}/nodes")
+    rows = sorted((str(k), str(v)) for k, v in about.items())
+    fields.sparkSession.createDataFrame(rows, "name string, value string").coalesce(1).write.mode(mode_of(how)).parquet(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """What ``save`` has written: the nodes, read when they are used, and what is known about them."""
+    return spark.read.parquet(f"{path}/nodes"), {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/about").collect()}  # a few names
 
 
 def flip_axes(fields: DataFrame) -> DataFrame:

@@ -42,7 +42,33 @@ def histogram(frames: DataFrame, low: float, high: float, bins: int) -> DataFram
 def describe(values: DataFrame, column: str) -> DataFrame:
     """One row: n, low, high, mean, std (population), median."""
     c = F.col(column)
-    return values.agg(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.median(c).alias("median"))
+    middle = exact_median(values, column)
+    return values.agg(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).withColumn("median", F.lit(middle).cast("double"))
+
+
+def exact_median(values: DataFrame, column: str, bins: int = 4096) -> float | None:
+    """The median of all values, the mean of the middle two; nulls don't count, and without values there is none.
+
+    Values are counted in bins between the least and the largest; the bin of the middle is then looked at in the same way,
+    until it holds one value. So no task holds or sorts more than its bins' counts.
+    """
+    rows = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    all_ = rows.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+
+    def at(place: int) -> float:
+        low, high = all_["low"], all_["high"]
+        while low < high:
+            width = (high - low) / bins
+            bin_ = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)) if width > 0 else F.col("v")
+            counts = rows.where(F.col("v").between(low, high)).groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            for r in sorted(counts.collect(), key=lambda r: r["b"]):  # a row per bin
+                if place < r["n"]:
+                    low, high = r["low"], r["high"]
+                    break
+                place -= r["n"]
+        return low
+
+    return (at((all_["n"] - 1) // 2) + at(all_["n"] // 2)) / 2 if all_["n"] else None
 
 
 def log_durations(starts: DataFrame, ends: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velofield.operators import filters, pairing, statistics, surface
@@ -75,6 +75,25 @@ def bos(frames: DataFrame, reference: DataFrame, params: Piv = Piv()) -> DataFra
     return piv(pairing.with_reference(frames, reference), params)
 
 
+def process_series(frames: DataFrame, first: int | None = None, last: int | None = None, params: Piv = Piv()) -> DataFrame:
+    """Velocimetry of the pairs of a part of a series, by frame numbers (both included)."""
+    part = frames.where(F.col("i").between(first if first is not None else -(1 << 62), last if last is not None else 1 << 62))
+    return piv_of_series(part, params)
+
+
+def process_arrays(spark: SparkSession, image0: np.ndarray, image1: np.ndarray, params: Piv = Piv()) -> DataFrame:
+    """Velocimetry of one pair of images given as arrays; the pair has the key 0."""
+    if image0.shape != image1.shape or image0.ndim != 2:
+        raise ValueError("both images must have two dimensions and one shape")
+    row = (0, *image0.shape, image0.ravel().astype(float).tolist(), image1.ravel().astype(float).tolist(), None)
+    return piv(spark.createDataFrame([row], "key long, height int, width int, px0 array<double>, px1 array<double>, error string"), params)
+
+
+def process_image(frames: DataFrame, name: str, function: str | Callable, args: tuple = ()) -> DataFrame:
+    """A user's function on the frame of one name."""
+    return image_to_image(frames.where(F.col("name") == name), function, args)
+
+
 def preprocess(frames: DataFrame, tools: list[tuple[str, dict]]) -> DataFrame:
     return filters.preprocess(frames, tools)
 

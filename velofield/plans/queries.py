@@ -924,7 +924,7 @@ def _stream(spark, sf_dir):
 def stream_mean(spark, sf_dir):
     from velofield.streaming.frames import finished, running_mean
 
-    return finished(running_mean(_stream(spark, sf_dir)), "").select("pos", "n", six("total", 5))
+    return finished(running_mean(_stream(spark, sf_dir))).select("pos", "n", six("total", 5))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, epoch(date_trunc('day', ts)) AS day FROM events GROUP BY event_type, date_trunc('day', ts)")
@@ -933,5 +933,60 @@ def stream_events(spark, sf_dir):
 
     events = read(spark, f"{sf_dir}/events.parquet")
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    made = finished(windowed_events(events, "1 day", "1 day"), "")
+    made = finished(windowed_events(events, "1 day", "1 day"))
     return made.select("event_type", "n", F.round("total", 4).alias("total"), F.unix_seconds("window.start").cast("double").alias("day"))
+
+
+@query(f"WITH {PX} SELECT a.i AS key, round(sum(a.v * b.v), 4) + 0.0 AS product FROM px a JOIN px b ON b.i = a.i + 1 AND b.pos = a.pos GROUP BY a.i")
+def stream_couples(spark, sf_dir):
+    from velofield.streaming.frames import couples as meet
+    from velofield.streaming.frames import finished
+
+    return finished(meet(_stream(spark, sf_dir)), mode="append").select("key", six("product", 4))
+
+
+@query(f"WITH {FL}, r AS (SELECT field_id, row_number() OVER (ORDER BY field_id) - 1 AS n FROM (SELECT DISTINCT field_id FROM fl)) SELECT field_id, iy, ix, round(vx, 6) + 0.0 AS vx, round(vy, 6) + 0.0 AS vy FROM fl JOIN r USING (field_id) WHERE n >= 10 AND n < 100 AND (n - 10) % 3 = 0 AND n NOT IN (13, 16)")
+def field_slice(spark, sf_dir):
+    from velofield.operators.fields import delete, slice_series
+
+    part = delete(vector_fields(spark, sf_dir), [13, 16])  # the positions left are sliced as they were numbered at first
+    every = slice_series(vector_fields(spark, sf_dir), 10, 100, 3)
+    return every.join(part.select("field_id").distinct(), "field_id", "left_semi").select("field_id", "iy", "ix", six("vx"), six("vy"))
+
+
+@query(f"WITH {FL} SELECT field_id, count(DISTINCT ix) AS n_x, count(DISTINCT iy) AS n_y, CAST(min(ix) AS DOUBLE) AS x_min, CAST(max(ix) AS DOUBLE) AS x_max, CAST(min(iy) AS DOUBLE) AS y_min, CAST(max(iy) AS DOUBLE) AS y_max FROM fl GROUP BY field_id")
+def field_grid(spark, sf_dir):
+    from velofield.operators.fields import grid_of
+
+    made = grid_of(vector_fields(spark, sf_dir))
+    return made.select("field_id", F.size("xs").cast("long").alias("n_x"), F.size("ys").cast("long").alias("n_y"), F.array_min("xs").alias("x_min"), F.array_max("xs").alias("x_max"), F.array_min("ys").alias("y_min"), F.array_max("ys").alias("y_max"))
+
+
+@query(f"WITH {FL} SELECT field_id, iy, ix, round(vx, 6) + 0.0 AS vx, round(vy, 6) + 0.0 AS vy, 'm/s' AS unit FROM fl")
+def field_storage(spark, sf_dir):
+    from velofield.operators.fields import load, save
+    from velofield.streaming.frames import working_folder
+
+    path = working_folder(spark)
+    save(vector_fields(spark, sf_dir), path, {"unit": "m/s"})
+    made, about = load(spark, path)
+    return made.select("field_id", "iy", "ix", six("vx"), six("vy"), F.lit(about["unit"]).alias("unit"))
+
+
+@query(f"WITH {FL}, g AS (SELECT field_id, ix * CAST(0.01 AS DOUBLE) AS x, iy * CAST(0.01 AS DOUBLE) AS y, vx, vy, vx * vy AS vz FROM fl) SELECT field_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(vx, 5) + 0.0 AS dx, round(vy, 5) + 0.0 AS dy, round(vz, 5) + 0.0 AS dz FROM g")
+def stereo_direct(spark, sf_dir):
+    """Both cameras' pixels of known displacements, calibrated by targets on planes, joined on a grid and reconstructed."""
+    from velofield.operators import stereo
+
+    t = vector_fields(spark, sf_dir).select("field_id", (F.col("ix") * 0.01).alias("x0"), (F.col("iy") * 0.01).alias("y0"), "vx", "vy", (F.col("vx") * F.col("vy")).alias("vz"))
+    seen = []
+    for angle in (0.6, -0.5):
+        cam = stereo.DirectCalibration.fit(stereo.target_points(angle), (200, 240), 9, 7)
+        look = stereo.seen_by(t, angle)
+        moved = stereo.apply_direct(look, cam, (0.0, 0.0, 1.0, 0.0))
+        seen.append((moved, cam.base()))
+    (a, base0), (b, base1) = seen
+    joined = stereo.join_cameras(a, b, base0, base1, [k * 0.01 for k in range(8)], [k * 0.01 for k in range(4)], "field_id")
+    made = calibration.stereo_reconstruct(joined, base0[0], base1[0])
+    metres = made.withColumns({f"d{c}": F.col(f"d{c}") * 1000 for c in "XYZ"})
+    return metres.select("field_id", six("X").alias("x"), six("Y").alias("y"), *[six(f"d{c}", 5).alias(f"d{c.lower()}") for c in "XYZ"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,12 +20,34 @@ def read(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFram
     return source.parquet(path) if not path.endswith(".parquet") else source.option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(path.rsplit("/", 1)[0])
 
 
-def finished(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return its result table."""
-    spark, name = stream.sparkSession, f"t{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start() if mode != "complete" else stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def working_folder(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share, ``spark.checkpoint.dir``; on one machine, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='velofield-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def finished(stream: DataFrame, folder: str | None = None, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there and return its result table.
+
+    The result is Parquet in ``folder`` (see ``working_folder``), beside the stream's checkpoint; nothing passes the driver.
+    In complete mode each batch writes the whole result to a folder of its own, and the last one counts; a batch that runs
+    again after a failure replaces its own folder only.
+    """
+    spark, folder = stream.sparkSession, folder or working_folder(stream.sparkSession)
+    out, last = f"{folder}/result", []
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/{number}")
+            last[:] = [number]
+
+        writer.foreachBatch(keep).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{out}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
+    writer.format("parquet").start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def running_mean(frames: DataFrame) -> DataFrame:
