@@ -338,7 +338,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without those that a smaller one of their group stands for."""
+    """The documents, all columns, without those that a smaller one of their group stands for.
+
+    Null and empty texts and rows with a null id are in no group and stay; of rows with one id all stay or all go; other
+    columns are kept as they are; an empty table stays empty.
+    """
     found = near_duplicates(docs, width, percent, id_col, text_col)
     gone = checkpointed(found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct())
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)
