@@ -5,11 +5,16 @@ A map of a window of n0 x n1 pixels has the displacement (dx, dy) = (n1 // 2 - 1
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from velofield.functions.images import let, total
+from velofield.functions.kernels import correlate_fft
 
 
 def window(pixels: Column, width: Column | int, y0: Column, x0: Column, height: int, across: int) -> Column:
@@ -44,6 +49,27 @@ def circular(a: Column, b: Column, height: int, width: int, digits: int = 6) ->
     return _normalised(a, b, lambda x, y: F.transform(places, lambda k: at(x, y, k)), 1, digits)
 
 
+def with_circular(rows: DataFrame, a: str, b: str, height: int, width: int, name: str = "corr", digits: int = 6) -> DataFrame:
+    """Add the map that ``circular`` gives for windows in columns ``a`` and ``b``, centred or not, instead of these.
+
+    All windows of an Arrow batch go through one Fourier transform; column functions cost the square of a window's pixels.
+    Null where a window is null or of another size; values that aren't numbers are null in the map.
+    """
+    kept = [f for f in rows.schema if f.name not in (a, b)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in parts:
+            out = pd.Series([None] * len(t), dtype=object, index=t.index)
+            whole = [k for k, (p, q) in enumerate(zip(t[a], t[b], strict=True)) if p is not None and q is not None and len(p) == len(q) == height * width]
+            if whole:
+                p, q = (np.stack([t[c].iloc[k] for k in whole]).astype(float).reshape(-1, height, width) for c in (a, b))
+                for k, c in zip(whole, np.round(correlate_fft(p, q).reshape(len(whole), -1), digits) + 0.0, strict=True):
+                    out.iloc[k] = [None if v != v else v for v in c.tolist()]
+            yield t[[f.name for f in kept]].assign(**{name: out})
+
+    return rows.mapInPandas(run, StructType([*kept, StructField(name, ArrayType(DoubleType()))]))
+
+
 def direct(a: Column, b: Column, height: int, width: int, disp_max: int, digits: int = 6) -> Column:
     """Mean product over the overlap for displacements up to ``disp_max``, by the geometric mean of the mean squares."""
     side = 2 * disp_max + 1

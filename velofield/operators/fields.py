@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -214,21 +216,39 @@ def spectrum_1d(rows: DataFrame, value: str, dx: float = 1.0) -> DataFrame:
 
     The transform is divided by n, frequencies run from -n // 2, and the sum of psd times the step of omega is half the mean square.
     """
-    n = F.size(value)
-    dk = 2 * math.pi / (n * dx)
-    k = F.explode(F.sequence(-F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int"))).alias("k")
-    wave = lambda f: F.aggregate(F.transform(F.col(value), lambda v, m: v * f(-2 * math.pi * F.col("k") * m / n)), F.lit(0.0), lambda a, b: a + b) / n
-    out = rows.select("*", k).withColumn("re", wave(F.cos)).withColumn("im", wave(F.sin))
+    dk = 2 * math.pi / (F.size(value) * dx)
+    made = rows.withColumn("_w", _transformed(1)(F.col(value)))
+    out = made.select(*rows.columns, F.size(value).alias("_n"), F.posexplode("_w").alias("_k", "_c"))
+    out = out.select(*rows.columns, (F.col("_k") - F.floor(F.col("_n") / 2)).cast("int").alias("k"), F.col("_c.re").alias("re"), F.col("_c.im").alias("im"))
     return out.withColumn("omega", F.col("k") * dk).withColumn("psd", 0.5 / dk * (F.col("re") * F.col("re") + F.col("im") * F.col("im")))
 
 
+def _transformed(height: int):
+    """A column function: the Fourier transform of row-major arrays of ``height`` rows, over their size, from the least
+    frequencies up; null for null, empty and cut arrays. The arrays of an Arrow batch with one size go through one transform.
+    """
+
+    @F.pandas_udf("array<struct<re:double,im:double>>")
+    def run(values: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(values), dtype=object)
+        sizes = np.array([0 if v is None else len(v) for v in values])
+        for n in np.unique(sizes[(sizes > 0) & (sizes % height == 0)]):
+            own = np.flatnonzero(sizes == n)
+            cube = np.stack([values.iloc[k] for k in own]).astype(float).reshape(len(own), height, -1)
+            waves = np.fft.fftshift(np.fft.fft2(cube), axes=(1, 2)).reshape(len(own), -1) / n
+            for k, w in zip(own, waves, strict=True):
+                out.iloc[k] = [{"re": float(c.real), "im": float(c.imag)} for c in w]
+        return out
+
+    return run
+
+
 def spectrum_2d(rows: DataFrame, value: str, height: int, width: int, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     """Power spectral density of row-major arrays in two dimensions: ky, kx, re, im, psd."""
     dkx, dky = 2 * math.pi / (width * dx), 2 * math.pi / (height * dy)
-    grid = rows.select("*", F.explode(F.sequence(F.lit(-(height // 2)), F.lit((height - 1) // 2))).alias("ky")).select("*", F.explode(F.sequence(F.lit(-(width // 2)), F.lit((width - 1) // 2))).alias("kx"))
-    phase = lambda m: -2 * math.pi * (F.col("ky") * F.floor(m / width) / height + F.col("kx") * (m % width) / width)
-    wave = lambda f: F.aggregate(F.transform(F.col(value), lambda v, m: v * f(phase(m))), F.lit(0.0), lambda a, b: a + b) / (height * width)
-    out = grid.withColumn("re", wave(F.cos)).withColumn("im", wave(F.sin))
+    made = rows.withColumn("_w", _transformed(height)(F.col(value))).select(*rows.columns, F.posexplode("_w").alias("_k", "_c"))
+    ky, kx = (F.floor(F.col("_k") / width) - height // 2).cast("int"), (F.col("_k") % width - width // 2).cast("int")
+    out = made.select(*rows.columns, ky.alias("ky"), kx.alias("kx"), F.col("_c.re").alias("re"), F.col("_c.im").alias("im"))
     return out.withColumn("psd", 0.5 / (dkx * dky) * (F.col("re") * F.col("re") + F.col("im") * F.col("im")))
 
 

@@ -18,9 +18,11 @@ def correlate(pairs: DataFrame, size: int, overlap: float = 0.5, height: int = 8
     grid = F.array(*[F.struct(F.lit(k * len(xs) + m).alias("ivec"), F.lit(y).alias("iyvec"), F.lit(x).alias("ixvec")) for k, y in enumerate(ys) for m, x in enumerate(xs)])
     rows = pairs.select("key", "height", "width", "px0", "px1", "error", F.explode(grid).alias("g")).select("key", "width", "px0", "px1", "error", "g.*")
     cut = lambda px: C.window(F.col(px), F.col("width"), F.col("iyvec") - half, F.col("ixvec") - half, size, size)
-    rows = rows.select("key", "ivec", "iyvec", "ixvec", "error", C.centred(cut("px0")).alias("a"), C.centred(cut("px1")).alias("b"))
-    made = C.circular(F.col("a"), F.col("b"), size, size) if disp_max is None else C.direct(F.col("a"), F.col("b"), size, size, disp_max)
-    return rows.select("key", "ivec", "iyvec", "ixvec", "error", F.when(F.col("error").isNull(), made).alias("corr"))
+    known = lambda px: F.when(F.col("error").isNull(), cut(px))
+    if disp_max is None:
+        return C.with_circular(rows.select("key", "ivec", "iyvec", "ixvec", "error", known("px0").alias("a"), known("px1").alias("b")), "a", "b", size, size)
+    rows = rows.select("key", "ivec", "iyvec", "ixvec", "error", C.centred(known("px0")).alias("a"), C.centred(known("px1")).alias("b"))
+    return rows.select("key", "ivec", "iyvec", "ixvec", "error", C.direct(F.col("a"), F.col("b"), size, size, disp_max).alias("corr"))
 
 
 def locate(maps: DataFrame, size: int, method: str = "2d_gaussian2", displacement_max: float | None = None, radius: int = 1, sub: bool = True) -> DataFrame:

@@ -344,8 +344,7 @@ _CORR = f"""{_CENTRED}, c AS (SELECT a.i AS key, CAST((3 - (b.iy - a.iy + 12) %
 
 
 def _maps(spark, sf_dir):
-    made = couples(spark, sf_dir).select("key", C.centred(F.col("px0")).alias("a"), C.centred(F.col("px1")).alias("b"))
-    return made.select("key", C.circular(F.col("a"), F.col("b"), 8, 8).alias("corr"))
+    return C.with_circular(couples(spark, sf_dir).select("key", "px0", "px1"), "px0", "px1", 8, 8)
 
 
 @query(f"WITH {_CORR} SELECT key, pos, c FROM c")
