@@ -40,3 +40,30 @@ def test_imports_without_the_optional_part(tmp_path):
         (tmp_path / name).symlink_to(root / name)
     code = "import sys; sys.modules['velofield.llm'] = None; import importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith('velofield.llm') else f(n, *a); import __spark_entry__ as e; q = e.queries(); assert 'piv_pass0' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "HOME": "/tmp"})
+
+
+@pytest.fixture(scope="module")
+def dealt(sf, duck, tmp_path_factory):
+    """Tables as folders of several files, as large tables are stored."""
+    folder = tmp_path_factory.mktemp("dealt")
+    for name, key in (("embeddings", "vec_id"), ("events", "event_id")):
+        (folder / f"{name}.parquet").mkdir()
+        for k in range(4):
+            duck.execute(f"copy (select * from {name} where {key} % 4 = {k}) to '{folder}/{name}.parquet/part-{k}.parquet' (format parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stream_couples"])
+def test_streams_over_tables_of_many_files(spark, dealt, duck, name):
+    assert_same(QUERIES[name](spark, dealt), duck, SQL[name])
+
+
+def test_a_stream_reads_one_file_and_no_other_of_its_name(spark, tmp_path):
+    for k, path in enumerate(("frames.parquet", "old/frames.parquet")):
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        made = str(tmp_path / f"made{k}")
+        spark.createDataFrame([(k, [1.0])], "i long, pixels array<double>").coalesce(1).write.parquet(made)
+        next(Path(made).glob("*.parquet")).rename(tmp_path / path)
+    for path in (f"{tmp_path}/frames.parquet", f"file://{tmp_path}/frames.parquet"):
+        found = streaming.finished(streaming.read(spark, path), mode="append")
+        assert [r["i"] for r in found.collect()] == [0]

@@ -14,10 +14,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream over the files of a Parquet table; how many are taken at once bounds what waits downstream."""
+    """A stream over the files of a Parquet table, a folder, one file or a pattern; how many files are taken at once bounds
+    what waits downstream.
+    """
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return source.parquet(path) if not path.endswith(".parquet") else source.option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(path.rsplit("/", 1)[0])
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target) and files.getFileStatus(target).isFile():
+        path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a folder or a pattern, not a file: a pattern that only the file fits
+    return source.parquet(path)
 
 
 def working_folder(spark: SparkSession) -> str:
