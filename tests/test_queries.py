@@ -53,7 +53,7 @@ def dealt(sf, duck, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["stream_couples"])
+@pytest.mark.parametrize("name", ["stream_couples", "stream_mean", "stream_events"])
 def test_streams_over_tables_of_many_files(spark, dealt, duck, name):
     assert_same(QUERIES[name](spark, dealt), duck, SQL[name])
 
