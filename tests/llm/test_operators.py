@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -113,6 +114,49 @@ def test_packing_of_odd_rows(odd):
     assert packing.pack(odd.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def project(*texts):
+    return packing.project(tokens.Words(*shared.utf8(pa.array(texts))))
+
+
+def test_texts_of_any_script_are_projected():
+    russian, greek, japanese = "Поле скоростей, снимок № 7", "Πεδίο ταχυτήτων", "速度場。粒子の画像。"
+    points = project(russian, greek, japanese, "plain words", None, " \n\t", "don\u2019t", "a\x00b", "see <|endoftext|>")
+    assert (points[[4, 5]] == 0).all()
+    assert (points[[0, 1, 2, 3, 6, 7, 8]] > 0).all()
+    assert len({tuple(p) for p in points.tolist()}) == 8
+    assert (project(russian.upper() + "\n", unicodedata.normalize("NFD", greek)) == points[:2]).all()
+    alone = project(russian + " don't stop", greek)
+    assert (alone[1] == points[1]).all() and (alone[0] != points[0]).any()
+
+
+def test_words_weigh_the_same_beside_characters_of_other_scripts():
+    plain = "It's the 12th field, don't we'll say été " * 30
+    words = tokens.Words(*shared.utf8(pa.array([plain, plain + "\u2026", plain.upper() + "速度"])))
+    rest = words.of_hard()
+    own = words.hash[: words.per_doc[1]].tolist()
+    assert words.hard.tolist() == [False, True, True]
+    assert [rest.hash[a : a + len(own)].tolist() for a in rest.per_doc[:2]] == [own, own] and np.diff(rest.per_doc).tolist() == [len(own) + 1] * 2
+    points = packing.project(words)
+    assert np.abs(points - points[0]).max() <= 4
+
+
+@given(st.text(alphabet="aB'sİéßretvmlld ²9½.,!\n\t\xa0ÀŠ<|日本ﬁйΣ\u0301\u2019\u2028\x00\x1c\x85", max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_words_of_hard_texts_equal_the_tokenizer(text):
+    tokenizer = tokens.Encoder.of(queries.tokenizer_path()).tokenizer
+    raw = np.frombuffer((text + "日").encode(), np.uint8)
+    low = tokenizer.normalizer.normalize_str(text + "日")
+    found = tokens.Words(raw, np.array([0, len(raw)])).of_hard()
+    assert [found.text(k) for k in range(len(found.start))] == [low[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(low)]
+
+
+def test_projection_clips_no_text():
+    points = project(*(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)))
+    for k in range(packing.DIMENSIONS):
+        values, counts = np.unique(points[:, k], return_counts=True)
+        assert values.min() > 0 and values.max() < (1 << packing.BITS) - 1 and counts.max() < 15 and len(values) > 200
+
+
 def test_hilbert_neighbours_touch():
     n = 3
     points = np.array([(x, y, z) for x in range(1 << n) for y in range(1 << n) for z in range(1 << n)])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from velofield.llm.shared import U64, checkpointed, chunks, partitions, utf8, written
 from velofield.llm.tokens import Encoder, Words
 
-DIMENSIONS, BITS = 3, 10
+DIMENSIONS, BITS = 3, 11
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -49,8 +49,15 @@ def project(words: Words) -> np.ndarray:
     """Each document's hashed word vector, projected to a few dimensions and put on the curve's grid.
 
     A word's hash gives its random weight in every dimension, so the sum over a document's words is a random projection of
-    its hashed count vector.
+    its hashed count vector. Words of any script count; the grid holds every mean of weights. Texts without words are at 0.
     """
+    points = _means(words)
+    if words.hard.any():
+        points[words.hard] = _means(words.of_hard())
+    return points
+
+
+def _means(words: Words) -> np.ndarray:
     n = len(words.per_doc) - 1
     count = np.maximum(np.diff(words.per_doc), 1)
     points = np.zeros((n, DIMENSIONS), np.int64)
@@ -59,7 +66,7 @@ def project(words: Words) -> np.ndarray:
         upto = np.zeros(len(weight) + 1, np.int64)
         np.cumsum(weight, out=upto[1:])
         mean = np.diff(upto[words.per_doc]) / count - 127.5
-        points[:, k] = np.clip((mean / 64 + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1)
+        points[:, k] = (mean / 128 + 1) * (1 << (BITS - 1))
     points[np.diff(words.per_doc) == 0] = 0
     return points
 

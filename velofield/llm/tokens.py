@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from functools import cache
 
 import numpy as np
 
@@ -41,6 +42,15 @@ _KIND, _LOWER = _classes()
 _CODES = table(_PLAIN + 1, 11)
 
 
+@cache
+def _all_characters() -> tuple[np.ndarray, np.ndarray]:
+    """The class and the number of every character; those of the plain Latin range as above, but none is hard."""
+    kinds = {"L": _LETTER, "N": _NUMBER, "Z": _SPACE}
+    kind = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    kind[[ord(c) for c in _SPACES + "\x85"]] = _SPACE
+    return kind, table(0x110000, 11)
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable stand-ins for bytes that byte-level vocabularies use."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -142,6 +152,11 @@ class Words:
         if self.hard.any():
             kind[ranges(self.doc[:-1][self.hard], np.diff(self.doc)[self.hard])] = _SPACE
         self.codes = _LOWER[codes]
+        self.raw, self.starts = raw, starts
+        self._cut(kind, _CODES)
+
+    def _cut(self, kind: np.ndarray, numbers: np.ndarray) -> None:
+        n = len(kind)
         before = np.zeros(n, np.uint8)
         before[1:] = kind[:-1]
         first = (kind != before) | (kind == _NUMBER)
@@ -153,9 +168,24 @@ class Words:
         if n:
             last[:-1] &= first[1:] | (kind[1:] == _SPACE)
         self.end = np.flatnonzero(last) + 1
-        self.hash = Prefixes(_CODES[self.codes]).of(self.start, self.end)
+        self.hash = Prefixes(numbers[self.codes]).of(self.start, self.end)
         self.per_doc = np.searchsorted(self.start, self.doc)
 
+    def of_hard(self) -> Words:
+        """The pre-tokens of the hard texts alone, by the same rules for all characters; special tokens are cut as others are.
+
+        A pre-token has the same hash here and in a plain text.
+        """
+        texts = [self.raw[self.starts[k] : self.starts[k + 1]].tobytes().decode("utf-8", "replace") for k in np.flatnonzero(self.hard)]
+        found = Words.__new__(Words)
+        parts = [np.frombuffer(unicodedata.normalize("NFC", x).replace("Σ", "σ").lower().encode("utf-32-le"), np.uint32) for x in texts]
+        found.hard = np.zeros(len(texts), bool)
+        found.doc = np.cumsum([0, *map(len, parts)])
+        found.codes = np.concatenate([np.zeros(0, np.uint32), *parts])
+        kind, numbers = _all_characters()
+        found._cut(kind[found.codes], numbers)
+        return found
+
     def _contractions(self, kind: np.ndarray, before: np.ndarray, first: np.ndarray, n: int) -> None:
         """'s 't 're 've 'm 'll 'd at the start of a match are pre-tokens of their own."""
         quote = np.flatnonzero((self.codes == ord("'")) & (kind == _OTHER) & first)
