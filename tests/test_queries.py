@@ -6,6 +6,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 from conftest import assert_same
 
@@ -67,3 +68,19 @@ def test_a_stream_reads_one_file_and_no_other_of_its_name(spark, tmp_path):
     for path in (f"{tmp_path}/frames.parquet", f"file://{tmp_path}/frames.parquet"):
         found = streaming.finished(streaming.read(spark, path), mode="append")
         assert [r["i"] for r in found.collect()] == [0]
+
+
+@pytest.mark.parametrize("vector", ["case when vec_id % 7 > 0 then embedding end", "case vec_id % 7 when 0 then embedding[1:20] when 1 then list_concat(embedding, embedding) when 2 then [] else embedding end", "list_transform(embedding, lambda v, k: case when (k + vec_id) % 5 > 0 and k <> 3 then v end)", "cast(null as float[])"])
+def test_the_mean_in_a_stream_counts_odd_vectors_as_its_sql(spark, sf, tmp_path, vector):
+    path = str(tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"copy (select vec_id, {vector} as embedding, label from '{sf}/embeddings.parquet') to '{path}' (format parquet)")
+    con.execute(f"create view embeddings as select * from '{path}'")
+    assert_same(QUERIES["stream_mean"](spark, str(tmp_path)), con, SQL["stream_mean"])
+
+
+def test_a_running_mean_leaves_null_pixels_out(spark, tmp_path):
+    path = str(tmp_path / "frames")
+    spark.createDataFrame([([1.0, None],), ([3.0, None],), ([None, 4.0],), (None,)], "pixels array<double>").write.parquet(path)
+    found = streaming.finished(streaming.running_mean(streaming.read(spark, path)))
+    assert sorted((r["pos"], r["total"] / r["n"], r["frames"]) for r in found.collect()) == [(0, 2.0, 3), (1, 4.0, 3)]

@@ -57,8 +57,8 @@ def finished(stream: DataFrame, folder: str | None = None, mode: str = "complete
 
 
 def running_mean(frames: DataFrame) -> DataFrame:
-    """The mean of each pixel over all frames so far."""
-    return frames.select(F.posexplode("pixels").alias("pos", "v")).groupBy("pos").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
+    """The mean of each pixel over all frames so far, ``total / n``: of ``frames`` that have the pixel, ``n`` have a value in it."""
+    return frames.select(F.posexplode("pixels").alias("pos", "v")).groupBy("pos").agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.count("*").alias("frames"))
 
 
 def couples(frames: DataFrame) -> DataFrame:
